@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.llm import line_dedup as lines
+from cairnlake.llm import jaccard, packing, toxicity
+from cairnlake.llm import license_scan as licenses
 from cairnlake.llm import url_filter as urls
 from cairnlake.llm.runtime import table
 
@@ -45,5 +47,61 @@ select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(ls) - len(k
 """
 
 
-for _f in (op7_url_filters, op10_line_dedup):
+def op2_license_scans(spark, sf_dir):
+    out = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_units")
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{n}', {[*sorted(licenses.bigrams_of(t))]})" for n, t in licenses.TEMPLATES.items())
+    mark = "(" + " or ".join(f"contains(lower(u), '{w}')" for w in licenses.markers(licenses.TEMPLATES, licenses.THRESHOLD)) + ")"
+    return f"""
+with t(name, b) as (values {rows}),
+u as (select doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n[ \\t\\r]*\\n'), [text]))) as u from documents),
+w as (select doc_id, string_split(trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') as w from u where {mark}),
+g as (select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w),
+s as (select doc_id, g, name, 2.0::double * len(list_intersect(g, b)) / (len(g) + len(b)) as dice from g, t where len(g) >= len(b) * 0.8 / 1.2 - 1e-9 and len(g) <= len(b) * 1.2 / 0.8 + 1e-9),
+h as (select doc_id, max(dice) as unit_dice from s where dice >= 0.8 group by doc_id, g),
+n as (select doc_id, count(*) as n_units from h group by doc_id),
+best as (select doc_id, name, dice, row_number() over (partition by doc_id order by dice desc, name) as k from s where dice >= 0.8)
+select d.doc_id, name as license, coalesce(round(dice, 6), 0.0)::double as dice, coalesce(n_units, 0)::bigint as n_units
+from documents d left join best on d.doc_id = best.doc_id and k = 1 left join n on d.doc_id = n.doc_id
+"""
+
+
+ORACLE_SQL["op2_license_scans"] = _license_sql()
+
+
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def _labelled(spark, sf_dir):
+    """Labels that may be learnt from: all but a quarter of them, by their ids."""
+    return table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "toxic")
+
+
+def toxicity_model(spark, sf_dir):
+    return toxicity.fit(table(spark, sf_dir, "documents"), _labelled(spark, sf_dir))
+
+
+TOXIC_FROM = 0.3
+
+
+def op8_toxicity(spark, sf_dir):
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir), "score")
+    return out.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+for _f in (op2_license_scans, op3_ngram_jaccard_join, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
     QUERIES[_f.__name__] = _f

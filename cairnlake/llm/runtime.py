@@ -9,10 +9,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnlake.shipping import ship
+
 _own_dir: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

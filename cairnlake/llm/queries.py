@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnlake.llm import line_dedup as lines
-from cairnlake.llm import jaccard, packing, toxicity
+from cairnlake.llm import decontaminate, jaccard, packing, toxicity
 from cairnlake.llm import license_scan as licenses
 from cairnlake.llm import url_filter as urls
 from cairnlake.llm.runtime import table
@@ -76,6 +76,10 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _labelled(spark, sf_dir):
     """Labels that may be learnt from: all but a quarter of them, by their ids."""
     return table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "toxic")
@@ -103,5 +107,5 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-for _f in (op2_license_scans, op3_ngram_jaccard_join, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
+for _f in (op2_license_scans, op3_ngram_jaccard_join, op4_benchmark_decontamination, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
     QUERIES[_f.__name__] = _f

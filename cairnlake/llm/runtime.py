@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnlake.shipping import ship
 
@@ -44,3 +45,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row.
+
+    Catalyst would copy a projected expression into each lambda and filter above it; it
+    does not look through a generator.
+    """
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

@@ -27,6 +27,13 @@ CACHED_WORDS = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The installed vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class WordIds:
     """Token ids of texts, by way of a bounded cache of the ids of their space-separated words.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cairnlake.llm import line_dedup as lines
-from cairnlake.llm import decontaminate, jaccard, packing, toxicity
+from cairnlake.llm import decontaminate, embedding_dedup, html_text, jaccard, packing, toxicity
 from cairnlake.llm import license_scan as licenses
 from cairnlake.llm import url_filter as urls
 from cairnlake.llm.runtime import table
@@ -47,6 +48,10 @@ select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(ls) - len(k
 """
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_license_scans(spark, sf_dir):
     out = licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_units")
@@ -80,32 +85,23 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _labelled(spark, sf_dir):
-    """Labels that may be learnt from: all but a quarter of them, by their ids."""
-    return table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "toxic")
-
-
-def toxicity_model(spark, sf_dir):
-    return toxicity.fit(table(spark, sf_dir, "documents"), _labelled(spark, sf_dir))
-
-
-TOXIC_FROM = 0.3
+def op6_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op8_toxicity(spark, sf_dir):
-    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), toxicity_model(spark, sf_dir), "score")
-    return out.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs.select("doc_id", "text"), model, "score")
+    return out.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op9_packing(spark, sf_dir):
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
-for _f in (op2_license_scans, op3_ngram_jaccard_join, op4_benchmark_decontamination, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
+for _f in (op1_html_extraction, op2_license_scans, op3_ngram_jaccard_join, op4_benchmark_decontamination, op6_embedding_near_dedup, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
     QUERIES[_f.__name__] = _f
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

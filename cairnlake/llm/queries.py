@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairnlake.llm import line_dedup as lines
-from cairnlake.llm import decontaminate, embedding_dedup, html_text, jaccard, packing, toxicity
+from cairnlake.llm import decontaminate, embedding_dedup, html_text, jaccard, packing, substring_dedup, toxicity
 from cairnlake.llm import license_scan as licenses
 from cairnlake.llm import url_filter as urls
 from cairnlake.llm.runtime import table
@@ -85,6 +85,10 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_array_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -100,7 +104,7 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
 
 
-for _f in (op1_html_extraction, op2_license_scans, op3_ngram_jaccard_join, op4_benchmark_decontamination, op6_embedding_near_dedup, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
+for _f in (op1_html_extraction, op2_license_scans, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_embedding_near_dedup, op7_url_filters, op8_toxicity, op9_packing, op10_line_dedup):
     QUERIES[_f.__name__] = _f
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:

@@ -2,8 +2,8 @@
 
 A line is boilerplate of a host if the pages of the host that hold it, divided by
 all pages of the host, exceed a ratio.  Only hashes of lines are shuffled, and the
-counts are combined before they are; the texts stay where they are, unless the
-hosts' lists of boilerplate are too large for Spark to broadcast.
+counts are combined before they are; the texts stay where they are as long as the
+hosts' lists of boilerplate, whose size is measured, are small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlake.llm.runtime import materialise
+
 RATIO = 0.1
 MIN_PAGES = 5
 SALTS = 32
+BROADCAST_BYTES = 16 << 20
 
 
 def _key(line: Column) -> Column:
@@ -42,16 +45,19 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     line, which is kept.  A null host is the host ``''``.  A repeated row is a page of
     its own.  Columns named n_lines or n_dropped are replaced.
     """
-    flagged = boilerplate(pages, ratio, min_pages, text, host)
-    # a hot host must not land in one task: its short list is dealt to several keys
-    dealt = flagged.select(F.col("h").alias("__h"), F.col("lines").alias("__lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    flagged = materialise(boilerplate(pages, ratio, min_pages, text, host).select(F.col("h").alias("__h"), F.col("lines").alias("__lines")), "boilerplate")
+    size = flagged.agg(F.sum(64 + F.octet_length("__h") + 8 * F.size("__lines")).alias("bytes")).first()["bytes"] or 0
     rest = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    own = pages.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__h"), F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int").alias("__salt"))
-    own = own.withColumn("__salt", F.coalesce("__salt", F.lit(0)))
+    own = pages.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__h"))
+    if size <= BROADCAST_BYTES:
+        own = own.join(F.broadcast(flagged), "__h", "left")
+    else:  # a hot host must not land in one task: its short list is dealt to several keys
+        dealt = flagged.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"), F.lit(0))).join(dealt, ["__h", "__salt"], "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), _key(x)) | (F.trim(x) == ""))
     kept = F.when(F.col("__lines").isNull(), lines).otherwise(kept)
-    out = own.join(dealt, ["__h", "__salt"], "left").withColumn("__kept", kept)
+    out = own.withColumn("__kept", kept)
     n = F.coalesce(F.size(lines), F.lit(0))
     return out.select(
         *[(F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n")).alias(c) if c == text else F.col(f"`{c}`")) for c in rest],

@@ -8,9 +8,9 @@ in the corpus.  Exact, and without a suffix array of the whole corpus:
 2. What is left, contexts that differ around a gram they share, is dealt by gram.
    Each shard sorts its suffixes by induction with disk-backed queues (``induced``);
    neighbours whose first ``length`` bytes agree are repeated.
-3. A gram with more than ``HOT`` different contexts (a passage in a third of all
-   documents) isn't sorted in one shard: its windows are counted by hash, combined
-   before they are shuffled.
+3. A gram with more different contexts than a task's fair share, ``HOT`` at least (a
+   passage in a third of all documents), isn't sorted in one shard: its windows are
+   counted by hash, combined before they are shuffled.
 4. The runs' windows are merged to spans per distinct text.
 
 Exact copies are one text throughout.  Filters of fixed size tell the executors which
@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from cairnlake.llm.anchors import content_ids, pieces, runs
 from cairnlake.llm.induced import suffix_array
 from cairnlake.llm.jaccard import Bloom
-from cairnlake.llm.runtime import materialise
+from cairnlake.llm.runtime import materialise, partitions
 from cairnlake.llm.textbytes import Spans, mix
 
 LENGTH = 400
 HOT = 256
 SHARD_BYTES = 3 << 20
 BITS = 1 << 25
+BROADCAST_HASHES = 1_000_000
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -124,10 +125,8 @@ def _contexts(docs: DataFrame, length: int, wanted, hashed: bool) -> DataFrame:
             text, start, windows, gram = text[asked], start[asked], windows[asked], gram[asked]
             at = off[text] + start
             if hashed:
-                which = np.repeat(np.arange(len(at)), windows)
+                which, hashes = _window_hashes(part, at, windows, length)
                 step = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                spot = at[which] + step
-                hashes = mix(Spans(part)(spot, spot + length), 9) if len(spot) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(cids[text][which]), pa.array(start[which] + step)], names=["hash", "cid", "start"])
             else:
                 held = [part[a : a + w + length - 1].tobytes() for a, w in zip(at.tolist(), windows.tolist(), strict=True)]
@@ -136,6 +135,34 @@ def _contexts(docs: DataFrame, length: int, wanted, hashed: bool) -> DataFrame:
     return _columns(docs).mapInArrow(run, "hash long, cid long, start long" if hashed else "gram long, cid long, start long, bytes binary")
 
 
+def _window_hashes(part: np.ndarray, at: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the run, hash) of each window of runs that begin at ``at``."""
+    which = np.repeat(np.arange(len(at)), windows)
+    spot = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return which, mix(Spans(part)(spot, spot + length), 9) if len(spot) else np.zeros(0, np.uint64)
+
+
+def _hot_runs(docs: DataFrame, length: int, wanted, often: np.ndarray | None) -> DataFrame:
+    """The wanted runs' window hashes, counted by task; or, given the sorted hashes that are met more than once, their spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, off, cids in _distinct_texts(batches):
+            text, start, windows, _, _ = runs(part, off, length)
+            asked = wanted.value.has(_token(cids[text], start).view(np.uint64)) if len(text) else np.zeros(0, bool)
+            text, start, windows = text[asked], start[asked], windows[asked]
+            which, hashes = _window_hashes(part, off[text] + start, windows, length)
+            if often is None:
+                keys, n = np.unique(hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["hash", "n"])
+            elif len(hashes) and len(often.value):
+                again = often.value[np.minimum(np.searchsorted(often.value, hashes), len(often.value) - 1)] == hashes
+                cuts = np.flatnonzero(np.diff(which)) + 1
+                rows = [(int(cids[t]), a, b) for t, s, flags in zip(text.tolist(), start.tolist(), np.split(again, cuts), strict=True) for a, b in _spans_of(flags, s, length)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["cid", "a", "b"])
+
+    return _columns(docs).mapInArrow(run, "hash long, n long" if often is None else "cid long, a long, b long")
+
+
 def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -199,11 +226,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k == 4 else pa.int64()) for k in range(5)], names=_NAMES)
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs`` (doc_id, text).
 
     Texts are UTF-8 bytes.  Null and empty texts, and those under ``length`` bytes, lose
-    nothing; every copy of a longer text loses all.  A repeated row is a copy.
+    nothing; every copy of a longer text loses all.  A repeated row is a copy.  ``hot``:
+    contexts from which a gram's windows are counted instead of sorted.
     """
     spark = docs.sparkSession
     send = spark.sparkContext.broadcast
@@ -221,16 +249,21 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     contexts = materialise(live.groupBy("gram", "ctx", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("cid", "start")).alias("rep")), "contexts")
     twice = materialise(contexts.where("n > 1").select("gram", "ctx"), "twice")
     whole = live.join(twice, ["gram", "ctx"]).select("cid", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + length).alias("b"))
-    per_gram = contexts.where("mixed").groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("s")).where("s > 0").select("gram", (F.col("m") > HOT).alias("hot"))
-    fetch = materialise(contexts.where("mixed").join(per_gram, "gram").select("hot", F.col("rep.cid").bitwiseXOR(F.shiftleft("rep.start", 9)).alias("token")), "fetch")
+    per_gram = materialise(contexts.where("mixed").groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("s")).where("s > 0").select("gram", "m"), "per-gram")
+    share = (per_gram.agg(F.sum("m")).first()[0] or 0) // partitions(spark)  # more than a task's fair share is too much for one shard
+    least = max(HOT, share) if hot is None else hot
+    fetch = materialise(contexts.where("mixed").join(per_gram, "gram").select((F.col("m") > least).alias("hot"), F.col("rep.cid").bitwiseXOR(F.shiftleft("rep.start", 9)).alias("token")), "fetch")
     spans = spans.union(whole)
     if fetch.where("not hot").limit(1).count():
         cold = send(Bloom.of(fetch.where("not hot"), BITS))
         spans = spans.union(_sorted_shards(_contexts(docs, length, cold, False), length))
     if fetch.where("hot").limit(1).count():
-        hot = materialise(_contexts(docs, length, send(Bloom.of(fetch.where("hot"), BITS)), True), "windows")
-        often = materialise(hot.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often")
-        spans = spans.union(hot.join(often, "hash").select("cid", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
+        asked = send(Bloom.of(fetch.where("hot"), BITS))
+        often = materialise(_hot_runs(docs, length, asked, None).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "often")
+        if often.count() <= BROADCAST_HASHES:
+            spans = spans.union(_hot_runs(docs, length, asked, send(np.sort(often.toArrow()["hash"].to_numpy().view(np.uint64)))))
+        else:
+            spans = spans.union(_contexts(docs, length, asked, True).join(often, "hash").select("cid", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     # spans of one text number less than its bytes
     cover = materialise(spans.distinct().groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "cover")
     known = send(Bloom.of(cover.select(F.col("cid").alias("token")), BITS))

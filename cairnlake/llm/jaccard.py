@@ -18,6 +18,8 @@ component.  Steps, each a distributed pass:
    is looked at any more.  Only lists that still hold several components are asked
    again, and there the leader's distances decide most pairs: Jaccard distance is a
    metric, so d(x, y) >= |d(leader, x) - d(leader, y)|.
+6. Candidate pairs are compared by parity sketches of fixed size first, which rule
+   out only what can't link, then by their sets.
 
 The sets themselves are only built again for classes in a candidate pair.
 """
@@ -38,7 +40,8 @@ from cairnlake.llm.textbytes import LOWER, SPACES, Spans, chunks, mix, shingles,
 HOT_COUNT = 12
 HOT_BITS = 1 << 23
 REPEATED_BITS = 1 << 26
-SMALL_LIST = 8
+SKETCH_BITS = 2048
+BLOCK = 1024
 
 
 class Bloom:
@@ -75,9 +78,8 @@ def sets_of(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray,
         starts, ends, at = word_spans(SPACES[low], off)
         got, bounds = shingles(mix(Spans(low)(starts, ends)), at, size)
         which = np.repeat(np.arange(end - first), np.diff(bounds))
-        order = np.argsort(got, kind="stable")
-        order = order[np.argsort(which[order].astype(np.int32), kind="stable")]
-        got, which = got[order], which[order]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # many short sorts beat a long one
+            got[a:b].sort()
         new = np.ones(len(got), bool)
         new[1:] = (got[1:] != got[:-1]) | (which[1:] != which[:-1])
         got, which = got[new], which[new]
@@ -155,7 +157,11 @@ def _entries(docs: DataFrame, size: int, num: int, den: int, hot, only=None) ->
                 take = np.where(_new_classes(cids, seen), _prefix_lengths(n, num, den), 0)
                 late = hot.value.has(got)
                 which = np.repeat(np.arange(len(n)), n)
-                order = np.argsort(2 * which + late, kind="stable")
+                before = np.concatenate([np.zeros(1, np.int64), np.cumsum(late)])
+                lates = before[1:] - before[at[which]]  # of the set, up to here
+                spot = np.where(late, at[which + 1] - (before[at[1:]] - before[at[:-1]])[which] + lates - 1, np.arange(len(got)) - lates)
+                order = np.empty(len(got), np.int64)
+                order[spot] = np.arange(len(got))
                 index = np.repeat(at[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 tokens, owner = got[order[index]], np.repeat(np.arange(len(n)), take)
                 pos = index - at[owner]
@@ -167,20 +173,25 @@ def _entries(docs: DataFrame, size: int, num: int, den: int, hot, only=None) ->
     return _columns(docs).mapInArrow(run, "token long, cid long, n long, pos long")
 
 
-def _sets(docs: DataFrame, size: int, wanted) -> DataFrame:
-    """(cid, n, tokens) of the classes in the filter, once a task."""
+def _sets(docs: DataFrame, size: int, wanted, sketch: bool) -> DataFrame:
+    """(cid, tokens) of the documents whose id is in the filter; or (cid, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for batch in batches:
-            for _, _, got, at in sets_of(batch.column(1), size):
-                cids = class_ids(got, at)
-                rows = np.flatnonzero(wanted.value.has(cids.view(np.uint64)) & _new_classes(cids, seen))
-                if len(rows):
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(at)[rows])]), pa.int32()), pa.array(np.concatenate([got[at[r] : at[r + 1]] for r in rows]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cids[rows]), lists], names=["cid", "tokens"])
-
-    return _columns(docs).mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"])
+            asked = wanted.value.has(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            part = batch.filter(pa.array(asked & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            for _, _, got, at in sets_of(part.column(1), size) if len(part) else ():
+                cids, n = class_ids(got, at), np.diff(at)
+                if sketch:
+                    lists = np.zeros((len(n), SKETCH_BITS // 64), np.uint64)
+                    spot = (got >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64)
+                    np.bitwise_xor.at(lists, (np.repeat(np.arange(len(n)), n), spot >> 6), np.uint64(1) << (spot & 63).astype(np.uint64))
+                    column = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(lists.ravel().view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(n), column], names=["cid", "n", "sketch"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(cids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got.view(np.int64)))], names=["cid", "tokens"])
+
+    return _columns(docs).mapInArrow(run, "cid long, n long, sketch array<long>" if sketch else "cid long, tokens array<long>")
 
 
 def _fits(an: str, ap: str, bn: str, bp: str, num: int, den: int) -> Column:
@@ -189,17 +200,72 @@ def _fits(an: str, ap: str, bn: str, bp: str, num: int, den: int) -> Column:
     return (F.least(i, j) + 1 + F.least(a - i, b - j) - 1) >= need(a, b, num, den)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """``pairs`` (a, b) with the overlap and the sizes of their sets; written, as it is read twice."""
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(a, b, both, an, bn): the pairs that may link, with the overlap and sizes of their sets.
+
+    Parity sketches go first: each shingle that only one of two sets has changes one
+    bit, so more different bits than a link leaves room for rule a pair out.
+    """
     spark = docs.sparkSession
     pairs = materialise(pairs, "pairs")
-    wanted = spark.sparkContext.broadcast(Bloom.of(pairs.select(F.col("a").alias("token")).union(pairs.select("b")).distinct(), HOT_BITS))
-    sets = materialise(_sets(docs, size, wanted), "sets")
+
+    def asked(pairs: DataFrame):
+        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(reps, "cid")
+        return spark.sparkContext.broadcast(Bloom.of(ids.select(F.col("least").alias("token")), HOT_BITS))
+
+    sketches = materialise(_sets(docs, size, asked(pairs), True), "sketches")
+    one = pairs.join(sketches.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("s")), "a")
+    two = one.join(sketches.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("t")), "b")
+    apart = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    pairs = materialise(two.where(apart <= F.col("an") + F.col("bn") - 2 * need(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct(), "pairs")
+    sets = materialise(_sets(docs, size, asked(pairs), False), "sets")
     one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), "a")
     two = one.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")), "b")
     return materialise(two.select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("both"), F.size("s").cast("long").alias("an"), F.size("t").cast("long").alias("bn")), "verified")
 
 
+def _near_in_lists(docs: DataFrame, reps: DataFrame, known: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(x, y): pairs of open lists that may link, of different components, neither the leader.
+
+    Lists are cut into blocks, and each pair of blocks is one group: its sketches are
+    compared where they meet, and only what may link leaves the group.
+    """
+    spark = docs.sparkSession
+    ids = known.select("cid").distinct().join(reps, "cid").select(F.col("least").alias("token"))
+    sketches = materialise(_sets(docs, size, spark.sparkContext.broadcast(Bloom.of(ids, HOT_BITS)), True).select("cid", "sketch"), "sketches")
+    d = F.when(F.col("cid") == F.col("a"), 0.0).otherwise(F.col("d"))
+    rows = known.where("cid <> a").select("token", "cid", "n", "pos", "component", d.alias("d"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sketches, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "cid", "n", "pos", "component", "d", "sketch")
+
+    def near(group: pa.Table) -> pa.Table:
+        get = lambda c: np.asarray(group[c].combine_chunks())
+        cid, n, pos, component, block = (get(c) for c in ("cid", "n", "pos", "component", "block"))
+        distance = group["d"].combine_chunks().to_numpy(zero_copy_only=False)
+        bits = np.asarray(group["sketch"].combine_chunks().flatten()).view(np.uint64).reshape(len(cid), -1)
+        apart = group["p"][0].as_py() != group["q"][0].as_py()
+        left = np.flatnonzero(block == group["p"][0].as_py()) if apart else np.arange(len(cid))
+        right = np.flatnonzero(block != group["p"][0].as_py()) if apart else np.arange(len(cid))
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(left), 128):
+            i, j = np.meshgrid(left[k : k + 128], right, indexing="ij")
+            least = -(-num * (n[i] + n[j]) // (num + den))
+            ok = (component[i] != component[j]) & (np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least)
+            ok &= ~(np.abs(distance[i] - distance[j]) > 1 - num / den + 1e-9)
+            ok &= True if apart else cid[i] < cid[j]
+            i, j, room = i[ok], j[ok], (n[i] + n[j] - 2 * least)[ok]
+            for m in range(0, len(i), 20_000):
+                s, t = i[m : m + 20_000], j[m : m + 20_000]
+                fits = np.bitwise_count(bits[s] ^ bits[t]).sum(1) <= room[m : m + 20_000]
+                xs.append(s[fits])
+                ys.append(t[fits])
+        x, y = cid[np.concatenate(xs)], cid[np.concatenate(ys)]
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    return rows.groupBy("token", "p", "q").applyInArrow(near, "x long, y long").distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -212,6 +278,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     """
     spark = docs.sparkSession
     rows = materialise(_class_rows(docs, size), "classes")
+    reps = materialise(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "reps")
     hot = spark.sparkContext.broadcast(_hot(docs, size, num, den))
     shared = _entries(docs, size, num, den, hot).groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y")
     only = spark.sparkContext.broadcast(Bloom.of(shared, REPEATED_BITS))
@@ -220,7 +287,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     lead = materialise(lead, "leaders")
     lists = entries.join(lead, "token")
     pairs = lists.where("cid <> a").where(_fits("an", "ai", "n", "pos", num, den)).select("a", F.col("cid").alias("b")).distinct()
-    first = _verified(docs, pairs, size)
+    first = _verified(docs, reps, pairs, size, num, den)
     linked = F.col("both") * (den + num) >= (F.col("an") + F.col("bn")) * num
     edges = first.where(linked).select("a", "b")
     labels = materialise(components(edges), "labels")
@@ -230,17 +297,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     known = known.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     open_lists = known.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
     known = materialise(known.join(open_lists, "token", "left_semi"), "open")
-    d = F.when(F.col("cid") == F.col("a"), 0.0).otherwise(F.col("d"))
-    one = known.select("token", F.col("cid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xi"), F.col("component").alias("xc"), d.alias("xd"), (F.col("cid") == F.col("a")).alias("xa"))
-    two = one.select("token", *[F.col(c).alias("y" + c[1:]) for c in one.columns[1:]])
-    rest = one.join(two, "token").where("xc <> yc and x < y and not xa and not ya").where(_fits("xn", "xi", "yn", "yi", num, den))
-    rest = rest.where(F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 1 - num / den + 1e-9, F.lit(True)))
-    more = _verified(docs, rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), size).where(linked).select("a", "b")
+    rest = materialise(_near_in_lists(docs, reps, known, size, num, den), "rest")
+    more = _verified(docs, reps, rest.select(F.col("x").alias("a"), F.col("y").alias("b")), size, num, den).where(linked).select("a", "b") if rest.limit(1).count() else rest
     if more.limit(1).count():
         labels = materialise(components(edges.union(more)), "labels")
 
-    least = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
-    least = least.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("k > 1 or component is not null").withColumn("component", F.coalesce("component", "cid"))
+    least = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("k > 1 or component is not null").withColumn("component", F.coalesce("component", "cid"))
     least = materialise(least, "members")
     named = materialise(least.select("cid", "component").join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", "component_id"), "named")
     out = rows.withColumn("key", F.when(F.col("n") > 0, F.col("cid"))).join(named.withColumnRenamed("cid", "key"), "key", "left")

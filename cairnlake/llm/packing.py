@@ -13,6 +13,9 @@ open windows, which the sum of squares keeps few.
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END_ID = 2
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -34,6 +37,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_CASED = re.compile("[\u03a3\u0130]")  # letters whose lower case depends on what stands around them
+
+
+_PROBES = ["then", "thntatwh", "qzxj", "a", "naïve", "über", "été", "слово", "日本", "ñandú"]
+# the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordIds:
     """Token ids of texts, by way of a bounded cache of the ids of their space-separated words.
 
@@ -43,27 +55,51 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(set(words))
+        # a lower-case word needs no normaliser and no splitting, if the model alone gives the same
+        self.direct = all(self._of_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in _PROBES)
+
+    def _of_model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_CHARS))]
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the words into ``known``; spellings that come to the same tokens share an encoding."""
+        base: dict[str, list[tuple[str, str]]] = {}
+        for word in words:
+            core, last = word, ""
+            if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+                core, last = word[:-1], word[-1]  # a token of its own in any case
+            if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not _CASED.search(core)):
+                core = core.lower()  # the tokenizer does so too
+            base.setdefault(core, []).append((word, last))
+        new = [c for c in {*base, ".", ","} if c not in self.known]
+        if self.direct:
+            plain = [c for c in new if c.isalpha() and c == c.lower() and (c.isascii() or unicodedata.is_normalized("NFC", c) and not _CASED.search(c))]
+            for core in plain:
+                self.known[core] = np.array(self._of_model(core), "<u4").tobytes()
+            new = [c for c in new if c not in self.known]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            for core, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[core] = np.array(got.ids, "<u4").tobytes()
+        for core, forms in base.items():
+            ids = self.known[core]
+            for word, last in forms:
+                self.known[word] = ids + self.known[last] if last else ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        split, known = [t.replace("\n", " ").split(" ") for t in texts], self.known
+        met = set().union(*split)
+        new = [w for w in met if w not in known]
+        if len(known) + len(new) > CACHED_WORDS:
+            known.clear()
+            new = list(met)
+        self._learn(new)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 class Packer:
@@ -157,8 +193,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows += packer.add(doc_id, ids_of(text or "") + end)
+                for doc_id, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    rows += packer.add(doc_id, ids + end)
                 if len(rows) >= 10_000:
                     yield _table(rows)
                     rows = []

@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from cairnlake import schema
 from cairnlake.catalog import Catalog
@@ -154,7 +153,9 @@ def test_files_round_trip(spark, tmp_path):
     cat.save(str(tmp_path / "cat"))
     cat = Catalog.load(spark, str(tmp_path / "cat"))
     lines = enrich.fact_lines(enrich.run_command(scope.worklist(cat), ["sh", "-c", "sha256sum {} | cut -c1-64"]), "fact", "hash.sha256", now=2)
-    done = ingest.import_facts(cat, lines.select(F.monotonically_increasing_id().alias("ln"), "line"), now=2).catalog
+    (tmp_path / "lines.jsonl").write_text("".join(r["line"] + "\n" for r in lines.collect()))
+    ingest.import_facts(cat, files.read_lines(spark, str(tmp_path / "lines.jsonl")), now=2).catalog.save(str(tmp_path / "cat2"))
+    done = Catalog.load(spark, str(tmp_path / "cat2"))
     made = manifest.generate(done, ["content.hash.sha256?"], str(tmp_path / "dst/in"), "{stem}-{hash_short}.{ext}")
     after, counts = files.execute(done, manifest.plan_apply(done, made), 2, now=3)
     assert counts == {"copied": 2} and len(list((tmp_path / "dst/in").iterdir())) == 2

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.graph import components
-from cairnlake.llm.runtime import materialise
+from cairnlake.llm.runtime import materialise, trimmed
 
 COSINE = 0.95
 SAMPLE = 20_480
@@ -205,7 +205,7 @@ def _links(classes: DataFrame, dim: int, n: int, cosine: float, sample: int, mar
                 )
 
     schema = "id long, weight long, vector array<double>, own int, list int, asks boolean, codes binary, error double"
-    rows = materialise(classes.select("id", "weight", "vector").mapInArrow(indexed, schema), "index")
+    rows = materialise(classes.select("id", "weight", "vector").mapInArrow(trimmed(indexed), schema), "index")
     # at most MAX_LISTS rows: how many blocks the queries and the members of a list take
     counts = rows.groupBy("list").agg(F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("qs"), F.ceil(F.count_if(~F.col("asks")) / BLOCK).cast("int").alias("ms")).where("qs > 0 and ms > 0")
     rows = rows.join(F.broadcast(counts), "list")

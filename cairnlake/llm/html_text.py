@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnlake.llm.runtime import trimmed
+
 WINDOW = 3
 SURGE = 80
 
@@ -197,4 +199,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 texts = [main_text(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*part.schema.names[:at], "text", "n_chars"])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields[:at], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return own.mapInArrow(trimmed(run), T.StructType([*own.schema.fields[:at], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

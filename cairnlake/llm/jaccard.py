@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlake.llm.graph import components
-from cairnlake.llm.runtime import materialise
+from cairnlake.llm.runtime import materialise, trimmed
 from cairnlake.llm.textbytes import LOWER, SPACES, Spans, chunks, mix, shingles, utf8, word_spans
 
 HOT_COUNT = 12
@@ -107,7 +107,7 @@ def _class_rows(docs: DataFrame, size: int) -> DataFrame:
             for first, end, got, at in sets_of(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(at)), pa.array(class_ids(got, at))], names=["doc_id", "n", "cid"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, n long, cid long")
+    return _columns(docs).mapInArrow(trimmed(run), "doc_id long, n long, cid long")
 
 
 def _prefix_lengths(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -137,13 +137,13 @@ def _hot(docs: DataFrame, size: int, num: int, den: int) -> Bloom:
                 new, times = np.unique(np.concatenate([keys, got[index]]), return_inverse=True)
                 counts = np.bincount(times, np.concatenate([counts, np.ones(len(index))]), len(new)).astype(np.int64) if len(new) else counts
                 keys = new
-                if len(keys) > 4_000_000:  # rare ones go; only the order depends on it
+                if len(keys) > 1_000_000:  # rare ones go; only the order depends on it
                     keys, counts = keys[counts > 1], counts[counts > 1]
         often = counts > 1
         for k in range(0, int(often.sum()), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[often][k : k + 100_000].view(np.int64)), pa.array(counts[often][k : k + 100_000])], names=["token", "n"])
 
-    return Bloom.of(_columns(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT), HOT_BITS)
+    return Bloom.of(_columns(docs).mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT), HOT_BITS)
 
 
 def _entries(docs: DataFrame, size: int, num: int, den: int, hot, only=None) -> DataFrame:
@@ -170,7 +170,7 @@ def _entries(docs: DataFrame, size: int, num: int, den: int, hot, only=None) ->
                     tokens, owner, pos = tokens[kept], owner[kept], pos[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(cids[owner]), pa.array(n[owner]), pa.array(pos)], names=["token", "cid", "n", "pos"])
 
-    return _columns(docs).mapInArrow(run, "token long, cid long, n long, pos long")
+    return _columns(docs).mapInArrow(trimmed(run), "token long, cid long, n long, pos long")
 
 
 def _sets(docs: DataFrame, size: int, wanted, sketch: bool) -> DataFrame:
@@ -191,7 +191,7 @@ def _sets(docs: DataFrame, size: int, wanted, sketch: bool) -> DataFrame:
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(cids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got.view(np.int64)))], names=["cid", "tokens"])
 
-    return _columns(docs).mapInArrow(run, "cid long, n long, sketch array<long>" if sketch else "cid long, tokens array<long>")
+    return _columns(docs).mapInArrow(trimmed(run), "cid long, n long, sketch array<long>" if sketch else "cid long, tokens array<long>")
 
 
 def _fits(an: str, ap: str, bn: str, bp: str, num: int, den: int) -> Column:

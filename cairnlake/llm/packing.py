@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cairnlake.llm.runtime import trimmed
+
 WINDOW = 4096
 END_ID = 2
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -200,4 +202,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                     rows = []
         yield _table(rows + packer.close())
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(trimmed(run), SCHEMA)

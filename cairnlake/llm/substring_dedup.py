@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.anchors import content_ids, pieces, runs
 from cairnlake.llm.induced import suffix_array
 from cairnlake.llm.jaccard import Bloom
-from cairnlake.llm.runtime import materialise, partitions
+from cairnlake.llm.runtime import materialise, partitions, trimmed
 from cairnlake.llm.textbytes import Spans, mix
 
 LENGTH = 400
@@ -112,7 +112,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             text, start, windows, gram, context = runs(part, off, length)
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(cids[text]), pa.array(start), pa.array(windows)], names=["gram", "ctx", "cid", "start", "windows"])
 
-    return _columns(docs).mapInArrow(run, "gram long, ctx long, cid long, start long, windows long")
+    return _columns(docs).mapInArrow(trimmed(run), "gram long, ctx long, cid long, start long, windows long")
 
 
 def _contexts(docs: DataFrame, length: int, wanted, hashed: bool) -> DataFrame:
@@ -132,7 +132,7 @@ def _contexts(docs: DataFrame, length: int, wanted, hashed: bool) -> DataFrame:
                 held = [part[a : a + w + length - 1].tobytes() for a, w in zip(at.tolist(), windows.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(cids[text]), pa.array(start), pa.array(held, pa.binary())], names=["gram", "cid", "start", "bytes"])
 
-    return _columns(docs).mapInArrow(run, "hash long, cid long, start long" if hashed else "gram long, cid long, start long, bytes binary")
+    return _columns(docs).mapInArrow(trimmed(run), "hash long, cid long, start long" if hashed else "gram long, cid long, start long, bytes binary")
 
 
 def _window_hashes(part: np.ndarray, at: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,7 @@ def _hot_runs(docs: DataFrame, length: int, wanted, often: np.ndarray | None) ->
                 rows = [(int(cids[t]), a, b) for t, s, flags in zip(text.tolist(), start.tolist(), np.split(again, cuts), strict=True) for a, b in _spans_of(flags, s, length)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["cid", "a", "b"])
 
-    return _columns(docs).mapInArrow(run, "hash long, n long" if often is None else "cid long, a long, b long")
+    return _columns(docs).mapInArrow(trimmed(run), "hash long, n long" if often is None else "cid long, a long, b long")
 
 
 def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
@@ -185,7 +185,7 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield solved()
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "cid long, a long, b long")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(trimmed(run), "cid long, a long, b long")
 
 
 def _removed(docs: DataFrame, length: int, known, covered: bool) -> DataFrame:
@@ -205,7 +205,7 @@ def _removed(docs: DataFrame, length: int, known, covered: bool) -> DataFrame:
                     zero = pa.array(np.zeros(len(rows), np.int64))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(n), zero, zero, pa.array([digests[r].hex() for r in rows], pa.string())], names=_NAMES)
 
-    return _columns(docs).mapInArrow(run, "doc_id long, cid long, bytes binary" if covered else _SCHEMA)
+    return _columns(docs).mapInArrow(trimmed(run), "doc_id long, cid long, bytes binary" if covered else _SCHEMA)
 
 
 _NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -241,7 +241,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int | None = Non
             for _, part, off in pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(_cids(content_ids(part, off))), pa.array(np.diff(off))], names=["cid", "n"])
 
-    copies = _columns(docs).mapInArrow(sizes, "cid long, n long").groupBy("cid").agg(F.count("*").alias("k"), F.max("n").alias("b")).where((F.col("k") > 1) & (F.col("b") >= length))
+    copies = _columns(docs).mapInArrow(trimmed(sizes), "cid long, n long").groupBy("cid").agg(F.count("*").alias("k"), F.max("n").alias("b")).where((F.col("k") > 1) & (F.col("b") >= length))
     spans = materialise(copies.select("cid", F.lit(0).cast("long").alias("a"), "b"), "copies")
     found = materialise(_anchors(docs, length), "anchors")
     grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").select("gram", "mixed"), "grams")
@@ -267,5 +267,5 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int | None = Non
     # spans of one text number less than its bytes
     cover = materialise(spans.distinct().groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "cover")
     known = send(Bloom.of(cover.select(F.col("cid").alias("token")), BITS))
-    cut = _removed(docs, length, known, True).join(cover, "cid", "left").select("doc_id", "bytes", "spans").mapInArrow(_cut, _SCHEMA)
+    cut = _removed(docs, length, known, True).join(cover, "cid", "left").select("doc_id", "bytes", "spans").mapInArrow(trimmed(_cut), _SCHEMA)
     return cut.union(_removed(docs, length, known, False))

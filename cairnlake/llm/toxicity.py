@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnlake.llm.runtime import trimmed
 from cairnlake.llm.textbytes import Spans, chunks, mix, utf8, word_spans
 
 MAX_ROWS = 20_000
@@ -132,7 +133,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.unique(np.rec.fromarrays([which, found]))
             one = toxic[pairs.f0]
             held.append((pairs.f1, one, 1 - one))
-            if sum(len(h[0]) for h in held) > 3_000_000:
+            if sum(len(h[0]) for h in held) > 1_000_000:
                 held = [summed()]
     if held:
         keys, pos, neg = summed()
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     # at most max_rows short rows: a proven bound
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    counts = rows.mapInArrow(_counted, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(trimmed(_counted), "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     p, q = n.get(1, 0), n.get(0, 0)
     if not p or not q:
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
             cf = [None if not ok else x for x, ok in zip(numbers(other), other.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(numbers(texts), pa.list_(pa.int32())), pa.array(cf, pa.list_(pa.int32()))], names=["toxic", "x", "cf"])
 
-    got = rows.mapInArrow(columns, "toxic int, x array<int>, cf array<int>").toPandas()
+    got = rows.mapInArrow(trimmed(columns), "toxic int, x array<int>, cf array<int>").toPandas()
     return _trained(model, got["toxic"].to_numpy(float), list(got["x"]), list(got["cf"]), counterfactual)
 
 
@@ -227,4 +228,4 @@ def score(docs: DataFrame, model: Model, column: str = "toxicity", text: str = "
                 part = batch.slice(k, 1000)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(part.column(at), slots))], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

@@ -17,6 +17,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 _CASED = re.compile("[\u03a3\u0130]")  # letters whose lower case depends on what stands around them
 
 
+_MARKS = {".", ","}
 _PROBES = ["then", "thntatwh", "qzxj", "a", "naïve", "über", "été", "слово", "日本", "ñandú"]
 # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -69,28 +71,30 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> None:
         """Put the words into ``known``; spellings that come to the same tokens share an encoding."""
-        base: dict[str, list[tuple[str, str]]] = {}
+        known, tokenize, later = self.known, self.tokenizer.model.tokenize, []
+        for mark in ".,":
+            known[mark] = self._encoded([mark])[0]
         for word in words:
             core, last = word, ""
-            if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+            if word[-1:] in _MARKS and word[-2:-1].isalpha():
                 core, last = word[:-1], word[-1]  # a token of its own in any case
             if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not _CASED.search(core)):
                 core = core.lower()  # the tokenizer does so too
-            base.setdefault(core, []).append((word, last))
-        new = [c for c in {*base, ".", ","} if c not in self.known]
-        if self.direct:
-            plain = [c for c in new if c.isalpha() and c == c.lower() and (c.isascii() or unicodedata.is_normalized("NFC", c) and not _CASED.search(c))]
-            for core in plain:
-                self.known[core] = np.array(self._of_model(core), "<u4").tobytes()
-            new = [c for c in new if c not in self.known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for core, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[core] = np.array(got.ids, "<u4").tobytes()
-        for core, forms in base.items():
-            ids = self.known[core]
-            for word, last in forms:
-                self.known[word] = ids + self.known[last] if last else ids
+                ids = known.get(core)
+                if ids is None and self.direct:
+                    ids = known[core] = array("I", [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                if ids is not None:
+                    known[word] = ids + known[last] if last else ids
+                    continue
+            later.append((word, core, last))
+        for at in range(0, len(later), 10_000):
+            part = later[at : at + 10_000]
+            for (word, core, last), ids in zip(part, self._encoded([core for _, core, _ in part]), strict=True):
+                known[core] = ids
+                known[word] = ids + known[last] if last else ids
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

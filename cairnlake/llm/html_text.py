@@ -62,7 +62,7 @@ def _is_frame(tag: str, rest: str, in_main: bool) -> bool:
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, within an article or main element) of each line, without what frames the page."""
+    """(text, characters in links without white space, within an article or main element) of each line, without what frames the page."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked, skipped, main, links = 0, 0, 0, 0
@@ -83,7 +83,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             text = unescape(raw)
             parts.append(text)
             if links:
-                linked += len(text.strip())
+                linked += len("".join(text.split()))
 
     def leave(to: int) -> None:
         nonlocal skipped, main, links
@@ -159,7 +159,7 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge:
     if marked:
         # the page delimits its article: headings and short lines at its ends belong to it
         return [text for text, _, _ in marked]
-    own = [max(0, len(text) - linked) for text, linked, _ in lines]
+    own = [max(0, len(text.replace(" ", "")) - linked) for text, linked, _ in lines]
     blocks = [sum(own[i : i + window]) for i in range(len(own))]
     stretches, i = [], 0
     while i < len(blocks):

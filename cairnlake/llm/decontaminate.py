@@ -41,6 +41,10 @@ def _shingle(words: Column, at: Column) -> Column:
     return F.xxhash64(F.slice(words, at + 1, F.lit(SHINGLE)))
 
 
+def _run_of(words: Column, k: int):
+    return lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice(words, p + 1, F.lit(k))).alias("h"))
+
+
 def _shingles(words: Column) -> Column:
     """All shingles of ``words``; all words as one where they are fewer."""
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: _shingle(words, i))).otherwise(F.array().cast("array<bigint>"))
@@ -122,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     hits = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)), F.lit(stride)), hit), lambda s: maybe(s["h"]))
     if short:  # items of fewer words than a shingle: every run of as many words
         for k in sorted({r["n"] for r in items.where(F.col("n") < SHINGLE).select("n").distinct().collect()}):
-            runs = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda p, k=k: F.struct(p.alias("p"), F.xxhash64(F.slice(words, p + 1, F.lit(k))).alias("h")))).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+            runs = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), _run_of(words, k))).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
             hits = F.concat(hits, F.filter(runs, lambda s: maybe(s["h"])))
     near = held(docs.select("doc_id", "text"), "words", words_of(F.col("text"))).where(F.size("words") > 0).select("doc_id", "words")
     near = materialise(held(near, "hits", hits).where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "near")

@@ -4,9 +4,9 @@ The markup is turned into lines: a block element ends a line, white space is one
 space, and parts that never are main text (scripts, styles, forms, menus, headers,
 footers, sidebars, notices, adverts, comments of readers) leave none.  The text
 lengths over a sliding window of lines then show where the page's text surges and
-where it dives, and what stands between the two is kept.  A page that marks its
-article or main element says itself where to look; the distribution then works on
-the lines inside.
+where it dives, and what stands between the two is kept.  The article and main
+elements are a hint where to look: with half of the page's text or more in them, the
+distribution works on the lines inside, else on those of the whole page.
 
 One page is one row: nothing is shuffled, and memory is that of the largest page.
 """
@@ -152,30 +152,52 @@ def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge:
     """The lines between the surge and the dive of the distribution of text lengths.
 
     The block of line i is lines i to i + window - 1, without what is in links.  Text
-    surges where a block exceeds ``surge``, and dives where blocks come down to nothing;
-    of several such stretches those with most of the text are kept.
+    surges where a block exceeds ``surge``, and dives where blocks come down to nothing.
+    Where the article or main elements hold half of the page's text or more, their lines
+    alone are looked at, and ends are looser: see _inside.  Else, as with a teaser beside
+    the story, the elements say nothing and all lines are looked at; of several stretches
+    those with most of the text are kept.
     """
-    marked = [line for line in lines if line[2]]
-    if marked:
-        # the page delimits its article: headings and short lines at its ends belong to it
-        return [text for text, _, _ in marked]
     own = [max(0, len(text.replace(" ", "")) - linked) for text, linked, _ in lines]
+    marked = sum(n for n, line in zip(own, lines, strict=True) if line[2])
+    if marked and 2 * marked >= sum(own):
+        at = [i for i, line in enumerate(lines) if line[2]]
+        return [lines[at[k]][0] for k in _inside([own[i] for i in at], window, surge)]
+    stretches = [(sum(own[first:last]), first, last) for first, last, surges in _stretches(own, window, surge) if surges]
+    if not stretches:
+        return [text for (text, _, _), n in zip(lines, own, strict=True) if n > 0]
+    most = max(stretches)[0]
+    return [lines[k][0] for n, first, last in stretches if 2 * n >= most for k in range(first, last) if own[k] > 0]
+
+
+def _stretches(own: list[int], window: int, surge: int, loose: bool = False) -> list[tuple[int, int, bool]]:
+    """(first line, end, whether text surges) of what stands between dives; ``loose``: from the dive before, else from the surge."""
     blocks = [sum(own[i : i + window]) for i in range(len(own))]
-    stretches, i = [], 0
+    out, i = [], 0
     while i < len(blocks):
-        if blocks[i] > surge:
-            first = i
+        if blocks[i] > (0 if loose else surge):
+            first, surges = i, False
             while i < len(blocks) and blocks[i] > 0:
+                surges |= blocks[i] > surge
                 i += 1
             last = i
-            while first < last and own[first] == 0:
+            while first < last and own[first] == 0 and not (loose and first == 0):  # a linked heading
                 first += 1
-            stretches.append((sum(own[first:last]), first, last))
+            out.append((first, last, surges))
         i += 1
-    if not stretches:
-        return [text for (text, linked, _), n in zip(lines, own, strict=True) if n > 0]
-    most = max(stretches)[0]
-    return [lines[k][0] for n, first, last in stretches if 2 * n >= most for k in range(first, last) if own[k] > 0]
+    return out
+
+
+def _inside(own: list[int], window: int, surge: int) -> list[int]:
+    """Lines of an article to keep, given its lines' lengths.
+
+    Every stretch that surges is kept from dive to dive, with short lines at its ends and
+    single links within; so is the first, whose short lines are headings.  An article
+    that never surges keeps all its stretches.
+    """
+    stretches = _stretches(own, window, surge, loose=True)
+    any_surge = any(surges for _, _, surges in stretches)
+    return [i for k, (first, last, surges) in enumerate(stretches) if surges or not any_surge or k == 0 for i in range(first, last)]
 
 
 def main_text(html: str | None) -> str:

@@ -172,6 +172,16 @@ def test_html():
     assert html_text.main_text("<p>just words") == "just words"
 
 
+def test_html_article_is_a_hint():
+    long = "A sentence that is long enough to make the text surge here. " * 3
+    links = "".join(f"<li><a href=x>Other story {k}</a></li>" for k in range(5))
+    teaser = f"<body><div><h1>Title</h1><p>{long}</p><p>{long}</p></div><ul>{links}</ul><article><h3><a href=y>Elsewhere</a></h3><p>In short.</p></article></body>"
+    assert html_text.main_text(teaser) == " ".join(("Title " + long + long).split())
+    listed = f"<body><article><h1>Title</h1><p>By one</p><p>{long}</p><div><ul>{links}</ul></div><p>{long}</p><p>See <a href=z>there</a>.</p><p><a href=z>Source</a></p><p>The end.</p><div>{links}</div><p>Box</p><ul>{links}</ul></article></body>"
+    assert html_text.main_text(listed) == " ".join(f"Title By one {long} {long} See there. Source The end.".split())
+    assert html_text.main_text(f"<article><h1><a href=x>Title</a></h1><p>Short.</p><ul>{links}</ul><p>{long}</p></article>") == " ".join(f"Title Short. {long}".split())
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "<p>a", "v"), (2, "<p>a", "v")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_text.extract(df).select("page_id", "text", "n_chars").orderBy("page_id").collect()] == [(1, "", 0), (2, "a", 1), (2, "a", 1)]

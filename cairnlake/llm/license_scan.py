@@ -2,23 +2,35 @@
 
 A unit (a line, a paragraph between blank lines, or the whole text) is normalised
 and compared with each template by the Dice coefficient of their sets of word
-bigrams.  Two prunings, both without loss:
+bigrams.  Three prunings, all without loss:
 
 * ``dice >= t`` bounds the size of a unit's set to [t / (2 - t), (2 - t) / t] times
   the template's, so other templates are not compared;
 * it also leaves at most a share (2 - 2t) / (2 - t) of a template's bigrams unmet, so
   a unit holds one of any words that occur in more of them: texts without such a word
-  are not even split.
+  are not even split;
+* and at least a share t / (2 - t) of a unit's bigrams are the template's, so with fewer
+  in a Bloom literal of all templates' bigrams it is not compared with any.
+
+Templates are short notices, and licence texts whole and by paragraph.
 
 Everything is an expression on the row: no shuffle, whatever the size of the table.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Shorter paragraphs of a licence ("Terms and conditions") are headings and names, not notices.
+PARAGRAPH_BIGRAMS = 15
+BLOOM_BITS = 1 << 20
 
 # Notices and short licence texts as their holders word them.
 TEMPLATES = {
@@ -39,8 +51,6 @@ TEMPLATES = {
 
 
 def words_of(text: str) -> list[str]:
-    import re
-
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
 
 
@@ -49,17 +59,60 @@ def bigrams_of(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+def _with_texts(notices: dict[str, str]) -> dict[str, str]:
+    """``notices``, and the licence texts beside this module whole and by paragraph.
+
+    A paragraph that several licences have is named for all of them, and after their own
+    ones in order, so that what only one licence has names a text.
+    """
+    out, seen, owners = dict(notices), {frozenset(bigrams_of(t)) for t in notices.values()}, {}
+    files = {f.stem: f.read_text("utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    for name, text in files.items():
+        out[f"{name}-text"] = text
+        seen.add(frozenset(bigrams_of(text)))
+    for name, text in files.items():
+        for k, part in enumerate(re.split(r"\n[ \t\r\f]*\n", text.strip()), 1):
+            pairs = frozenset(bigrams_of(part))
+            if len(pairs) >= PARAGRAPH_BIGRAMS and pairs not in seen:
+                owners.setdefault(pairs, []).append((name, k, part))
+    for found in owners.values():
+        names = sorted({name for name, _, _ in found})
+        name, k, part = found[0]
+        out[f"{name}-paragraph-{k}" if len(names) == 1 else f"part-of-{'-or-'.join(names)}-{k}"] = part
+    return out
+
+
+TEMPLATES = _with_texts(TEMPLATES)
+
+
 def markers(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which every unit that is near enough to a template has one."""
-    out: set[str] = set()
-    for text in templates.values():
+    """Words of which every unit that is near enough to a template has one.
+
+    Long words first where they do, for they are in the fewest other texts.
+    """
+    where: dict[str, list[tuple[int, str]]] = {}
+    need: list[float] = []
+    for k, text in enumerate(templates.values()):
         pairs = bigrams_of(text)
-        miss = len(pairs) * (2 - 2 * threshold) / (2 - threshold)
-        met = lambda: sum(any(w in out for w in p.split()) for p in pairs)
-        for word in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
-            if met() > miss + 1e-9:
-                break
-            out.add(word)
+        need.append(int(len(pairs) * (2 - 2 * threshold) / (2 - threshold) + 1e-9) + 1)
+        for pair in pairs:
+            for word in set(pair.split()):
+                where.setdefault(word, []).append((k, pair))
+    whole, met, out = need[:], set(), []
+    while any(n > 0 for n in need):
+        best, gain = "", 0.0
+        for word in sorted(where):
+            fresh = Counter(k for k, pair in where[word] if need[k] > 0 and (k, pair) not in met)
+            worth = sum(min(n, need[k]) / whole[k] for k, n in fresh.items()) * min(len(word), 10) ** 2
+            if worth > gain:
+                best, gain = word, worth
+        if not best:
+            break
+        out.append(best)
+        for k, pair in where.pop(best):
+            if (k, pair) not in met:
+                met.add((k, pair))
+                need[k] -= 1
     return sorted(w for w in out if not any(v != w and v in w for v in out))
 
 
@@ -84,6 +137,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     names = sorted(templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sets = {n: sorted(bigrams_of(templates[n])) for n in names}
+    bits = bytearray(BLOOM_BITS // 8)
+    for pair in {x for pairs in sets.values() for x in pairs}:
+        spot = zlib.crc32(pair.encode()) % BLOOM_BITS
+        bits[spot >> 3] |= 1 << (spot & 7)
+    # strings that are split are one literal each once folded, however long
+    bloom = F.split(F.lit(" ".join(str(int.from_bytes(bits[i : i + 4], "little")) for i in range(0, len(bits), 4))), " ").cast("array<bigint>")
+    known = F.array(*[F.struct(F.lit(len(sets[n])).alias("n"), F.lit(-k).alias("rank"), F.lit(n).alias("name"), F.split(F.lit("|".join(sets[n])), "[|]").alias("pairs")) for k, n in enumerate(names)])
     has = lambda c: F.exists(F.array(*map(F.lit, marks)), lambda w: F.contains(F.lower(c), w))
     marks = markers(templates, threshold)
     t = F.col(text)
@@ -91,11 +151,20 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     for w in marks:
         any_mark = any_mark | F.contains(F.col("__low"), F.lit(w))
     units = F.array_distinct(F.concat(F.split(t, "\n", -1), F.split(t, r"\n[ \t\r]*\n", -1), F.array(t)))
-    grams = F.transform(F.filter(units, has), _bigrams)
+
+    def listed(pair: Column) -> Column:
+        spot = F.pmod(F.crc32(F.encode(pair, "utf-8")), F.lit(BLOOM_BITS))
+        return F.getbit(F.element_at(bloom, (F.shiftright(spot, 5) + 1).cast("int")), F.pmod(spot, F.lit(32))) == 1
 
     def score(g: Column) -> Column:
-        return F.array(*[F.when((F.size(g) >= len(sets[n]) * low - 1e-9) & (F.size(g) <= len(sets[n]) * high + 1e-9), F.struct((F.lit(2.0) * F.size(F.array_intersect(g, F.lit(sets[n]))) / (F.size(g) + len(sets[n]))).alias("dice"), F.lit(-k).alias("rank"), F.lit(n).alias("name"))) for k, n in enumerate(names)])
+        def one(t: Column) -> Column:
+            fits = (F.size(g) >= t["n"] * low - 1e-9) & (F.size(g) <= t["n"] * high + 1e-9)
+            return F.when(fits, F.struct((F.lit(2.0) * F.size(F.array_intersect(g, t["pairs"])) / (F.size(g) + t["n"])).alias("dice"), t["rank"].alias("rank"), t["name"].alias("name")))
+
+        return F.transform(known, one)
 
+    least = min(map(len, sets.values())) * low - 1e-9
+    grams = F.filter(F.transform(F.filter(units, has), _bigrams), lambda g: (F.size(g) >= least) & (F.size(F.filter(g, listed)) >= F.size(g) * low - 1e-9))
     best = F.transform(grams, lambda g: F.array_max(F.filter(score(g), lambda s: s["dice"] >= threshold)))
     best = F.filter(best, lambda s: s.isNotNull())
     rest = [c for c in docs.columns if c not in ("license", "dice", "n_units")]

@@ -193,6 +193,43 @@ def test_licenses(spark):
     assert got == {1: (None, 0), 2: (None, 0), 3: ("MIT-notice", 2), 4: ("CC-BY-NC-4.0", 1), 5: (None, 0), 6: ("MIT", 1), 7: ("ISC", 3)}
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2031 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_license_files(spark):
+    from pathlib import Path
+
+    bsd2 = """Copyright 2031 Some One\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    files = {"MIT": MIT_FILE, "MIT ": " ".join(MIT_FILE.split()), "BSD-2-Clause": " ".join(bsd2.split())}
+    at = Path("/usr/share/common-licenses")
+    files |= {name: (at / own).read_text() for own, name in [("BSD", "BSD-3-Clause"), ("GPL-1", "GPL-1.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3"), ("MPL-2.0", "MPL-2.0")] if (at / own).exists()}
+    rows = list(enumerate(files.values())) + [(100, prose(300, 8)), (101, "Terms and conditions\n\nintro\n\n" + MIT_FILE.split("\n\n")[4])]
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {n: got[k] for k, n in enumerate(files) if not (got[k] or "").startswith(n.strip())} == {}
+    assert got[100] is None and got[101] == "MIT-paragraph-3"
+
+
 def test_lines(spark):
     rows = [(i, f"menu\nbody {i}\n\n" + ("menu" if i % 2 else ""), "h") for i in range(10)] + [(20, None, "h"), (21, "", None), (22, "menu\nx", "other"), (22, "menu\nx", "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

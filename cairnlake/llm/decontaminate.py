@@ -4,8 +4,8 @@
    is looked up in a Bloom literal of the benchmark's shingles; only texts with a hit
    go on.  The stride loses nothing: a window near enough to an item leaves so few
    shingles unshared that some run of shared ones is at least that long.
-2. Around the alignments that the hits give, windows as long as the item get a
-   64-bit SimHash of their shingles, each weighted by how often it occurs.
+2. All windows as long as the item that hold a hit get a 64-bit SimHash of their
+   shingles, each weighted by how often it occurs.
 3. Multi-index Hamming search: ``RADIUS + 1`` blocks of bits, so two fingerprints within
    the radius agree on one block at least.  Windows meet the items that have the same
    length and agree on a block; the whole distance then decides.
@@ -131,13 +131,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     near = held(docs.select("doc_id", "text"), "words", words_of(F.col("text"))).where(F.size("words") > 0).select("doc_id", "words")
     near = materialise(held(near, "hits", hits).where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "near")
 
-    miss = F.floor(F.col("m") * (1 - threshold) / (1 + threshold) + 1e-9).cast("int")
-    spots = near.select("row", F.size("words").alias("n_words"), F.explode("hits").alias("hit")).select("row", "n_words", "hit.p", "hit.h").join(_small(offsets, n_offsets), "h")
-    starts = spots.select("row", "n", F.explode(F.sequence(F.col("p") - F.col("offset") - miss, F.col("p") - F.col("offset") + miss)).alias("start"), "n_words")
-    starts = starts.select("row", "n", F.least(F.greatest("start", F.lit(0)), F.greatest(F.col("n_words") - 1, F.lit(0))).alias("start")).distinct()
-    windows = held(starts.join(near.select("row", "doc_id", "words"), "row"), "window", F.slice(F.col("words"), F.col("start") + 1, F.col("n"))).select("row", "doc_id", "n", "start", "window")
-    windows = held(windows, "hashes", _shingles(F.col("window"))).drop("window")
-    windows = materialise(_fingerprinted(windows, "hashes", "fp"), "windows")
+    # every start whose window of the item's length holds a hit: parts of an item may have changed places
+    spots = near.select("row", F.explode("hits").alias("hit")).select("row", "hit.p", "hit.h").join(_small(offsets.select("h", "n").distinct(), n_offsets), "h")
+    spots = spots.groupBy("row", "n").agg(F.collect_set("p").alias("ps"))
+    span = lambda p: F.sequence(F.greatest(p - F.col("n") + F.least("n", F.lit(SHINGLE)), F.lit(0)), p)
+    starts = spots.join(near.select("row", "words"), "row").select("row", "n", "words", F.explode(F.array_distinct(F.flatten(F.transform("ps", span)))).alias("start"))
+
+    def hashed(starts: DataFrame) -> DataFrame:
+        return held(held(starts, "window", F.slice(F.col("words"), F.col("start") + 1, F.col("n"))).drop("words"), "hashes", _shingles(F.col("window"))).drop("window")
+
+    windows = materialise(_fingerprinted(hashed(starts), "hashes", "fp").select("row", "n", "start", "fp"), "windows")
 
     def blocks(fp: Column) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(_BLOCKS)])
@@ -145,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     left = windows.select("row", "n", "start", "fp", F.explode(blocks(F.col("fp"))).alias("block"))
     right = items.select("item_id", "n", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block"))
     pairs = left.join(_small(right, len(_BLOCKS) * n_items), ["n", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "n", "start", "item_id").distinct()
-    checked = pairs.join(windows.select("row", "n", "start", "doc_id", "hashes"), ["row", "n", "start"]).join(_small(items.select("item_id", "items", "item_set"), n_items), "item_id")
+    checked = hashed(pairs.join(near.select("row", "doc_id", "words"), "row")).join(_small(items.select("item_id", "items", "item_set"), n_items), "item_id")
     checked = _counted(checked, "hashes", "window_set")
     both = F.size(F.array_intersect("window_set", "item_set"))
     checked = checked.select("doc_id", "item_id", "start", (both / (F.size("hashes") + F.size("items") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)

@@ -274,6 +274,15 @@ def test_contamination(spark):
     assert decontaminate.contaminated(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_contamination_of_swapped_parts(spark):
+    items = [(1, prose(50, 70)), (2, prose(120, 71)), (3, prose(64, 72))]
+    swap = lambda t, at: " ".join(t.split()[at:] + t.split()[:at])
+    rows = [(1, prose(100, 73) + " " + swap(items[0][1], 25) + " " + prose(100, 74)), (2, prose(9, 75) + " " + swap(items[1][1], 30) + " " + prose(70, 76)), (3, swap(items[2][1], 40)), (4, prose(8, 77) + " " + swap(swap(items[1][1], 40), 77))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_contaminated(rows, items)
+    assert set(want) >= {(1, 1), (2, 2), (3, 3)} and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_toxicity_counterfactuals(spark):
     r = random.Random(3)
     rows, labels = [], []

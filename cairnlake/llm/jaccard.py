@@ -101,13 +101,18 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``key``, by which a row's set is asked for: its doc_id, or a hash of its text where that is null."""
+    return _columns(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+
+
 def _class_rows(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, got, at in sets_of(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(at)), pa.array(class_ids(got, at))], names=["doc_id", "n", "cid"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(at)), pa.array(class_ids(got, at)), batch.column(2).slice(first, end - first)], names=["doc_id", "n", "cid", "key"])
 
-    return _columns(docs).mapInArrow(trimmed(run), "doc_id long, n long, cid long")
+    return _keyed(docs).mapInArrow(trimmed(run), "doc_id long, n long, cid long, key long")
 
 
 def _prefix_lengths(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -174,12 +179,11 @@ def _entries(docs: DataFrame, size: int, num: int, den: int, hot, only=None) ->
 
 
 def _sets(docs: DataFrame, size: int, wanted, sketch: bool) -> DataFrame:
-    """(cid, tokens) of the documents whose id is in the filter; or (cid, n, sketch)."""
+    """(cid, tokens) of the documents whose key is in the filter; or (cid, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = wanted.value.has(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            part = batch.filter(pa.array(asked & batch.column(0).is_valid().to_numpy(zero_copy_only=False)))
+            part = batch.filter(pa.array(wanted.value.has(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
             for _, _, got, at in sets_of(part.column(1), size) if len(part) else ():
                 cids, n = class_ids(got, at), np.diff(at)
                 if sketch:
@@ -191,7 +195,12 @@ def _sets(docs: DataFrame, size: int, wanted, sketch: bool) -> DataFrame:
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(cids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got.view(np.int64)))], names=["cid", "tokens"])
 
-    return _columns(docs).mapInArrow(trimmed(run), "cid long, n long, sketch array<long>" if sketch else "cid long, tokens array<long>")
+    return _keyed(docs).mapInArrow(trimmed(run), "cid long, n long, sketch array<long>" if sketch else "cid long, tokens array<long>")
+
+
+def _once(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``sets``, a class once: copies without ids share a key, so where there are such classes they are dealt by class."""
+    return sets.dropDuplicates(["cid"]) if reps.where("least is null").limit(1).count() else sets
 
 
 def _fits(an: str, ap: str, bn: str, bp: str, num: int, den: int) -> Column:
@@ -211,14 +220,14 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, num
 
     def asked(pairs: DataFrame):
         ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(reps, "cid")
-        return spark.sparkContext.broadcast(Bloom.of(ids.select(F.col("least").alias("token")), HOT_BITS))
+        return spark.sparkContext.broadcast(Bloom.of(ids.select(F.col("key").alias("token")), HOT_BITS))
 
-    sketches = materialise(_sets(docs, size, asked(pairs), True), "sketches")
+    sketches = materialise(_once(_sets(docs, size, asked(pairs), True), reps), "sketches")
     one = pairs.join(sketches.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("s")), "a")
     two = one.join(sketches.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("t")), "b")
     apart = F.aggregate(F.zip_with("s", "t", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     pairs = materialise(two.where(apart <= F.col("an") + F.col("bn") - 2 * need(F.col("an"), F.col("bn"), num, den)).select("a", "b").distinct(), "pairs")
-    sets = materialise(_sets(docs, size, asked(pairs), False), "sets")
+    sets = materialise(_once(_sets(docs, size, asked(pairs), False), reps), "sets")
     one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), "a")
     two = one.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")), "b")
     return materialise(two.select("a", "b", F.size(F.array_intersect("s", "t")).cast("long").alias("both"), F.size("s").cast("long").alias("an"), F.size("t").cast("long").alias("bn")), "verified")
@@ -231,8 +240,8 @@ def _near_in_lists(docs: DataFrame, reps: DataFrame, known: DataFrame, size: int
     compared where they meet, and only what may link leaves the group.
     """
     spark = docs.sparkSession
-    ids = known.select("cid").distinct().join(reps, "cid").select(F.col("least").alias("token"))
-    sketches = materialise(_sets(docs, size, spark.sparkContext.broadcast(Bloom.of(ids, HOT_BITS)), True).select("cid", "sketch"), "sketches")
+    ids = known.select("cid").distinct().join(reps, "cid").select(F.col("key").alias("token"))
+    sketches = materialise(_once(_sets(docs, size, spark.sparkContext.broadcast(Bloom.of(ids, HOT_BITS)), True), reps).select("cid", "sketch"), "sketches")
     d = F.when(F.col("cid") == F.col("a"), 0.0).otherwise(F.col("d"))
     rows = known.where("cid <> a").select("token", "cid", "n", "pos", "component", d.alias("d"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sketches, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -278,7 +287,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     """
     spark = docs.sparkSession
     rows = materialise(_class_rows(docs, size), "classes")
-    reps = materialise(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")), "reps")
+    reps = materialise(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.count("*").alias("k")), "reps")
     hot = spark.sparkContext.broadcast(_hot(docs, size, num, den))
     shared = _entries(docs, size, num, den, hot).groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x <> y")
     only = spark.sparkContext.broadcast(Bloom.of(shared, REPEATED_BITS))
@@ -305,5 +314,5 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     least = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").where("k > 1 or component is not null").withColumn("component", F.coalesce("component", "cid"))
     least = materialise(least, "members")
     named = materialise(least.select("cid", "component").join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", "component_id"), "named")
-    out = rows.withColumn("key", F.when(F.col("n") > 0, F.col("cid"))).join(named.withColumnRenamed("cid", "key"), "key", "left")
+    out = rows.select("doc_id", "n", "cid").withColumn("key", F.when(F.col("n") > 0, F.col("cid"))).join(named.withColumnRenamed("cid", "key"), "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

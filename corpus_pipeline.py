@@ -15,10 +15,19 @@ from cairnlake.llm.runtime import materialise, table
 BROADCAST_IDS = 500_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; broadcast where a count shows that they are few."""
-    ids = materialise(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def _named(docs: DataFrame) -> DataFrame:
+    """(__id, doc_id, text, ...): rows without an id are named by a hash of their text, above all ids under 2^62."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))))
+
+
+def _texts(named: DataFrame) -> DataFrame:
+    return named.select(F.col("__id").alias("doc_id"), "text")
+
+
+def _without(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """``named`` without the rows whose name is in ``ids``; broadcast where a count shows that they are few."""
+    ids = materialise(ids.select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    return named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__id", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +43,22 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by 5-word-shingle similarities of 0.8 or more."""
-    return _without(docs, jaccard.jaccard_components(docs, 5, 80, 100).where("component_id <> doc_id"))
+    """The document with the smallest id of each group linked by 5-word-shingle similarities of 0.8 or more.
+
+    Rows without an id come after those with one; of a group without ids one row is kept.
+    """
+    named = _named(docs)
+    out = _without(named, jaccard.jaccard_components(_texts(named), 5, 80, 100).where("component_id <> doc_id"))
+    copies = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    if not docs.where("doc_id is null").limit(1).count():
+        return out.select(docs.columns)
+    return out.where(~copies).select(docs.columns).unionByName(out.where(copies).dropDuplicates(["text"]).select(docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    named = _named(docs)
+    return _without(named, decontaminate.contaminated(_texts(named), table(spark, sf_dir, "benchmark"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,15 @@ def test_jaccard_empty(spark):
     assert [tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame([(None, "a b c"), (4, "a b c")], DOCS)).orderBy("doc_id").collect()] == [(None, 1, 4), (4, 1, 4)]
 
 
+def test_jaccard_without_ids(spark):
+    a, b, c = prose(200, 80).split(), prose(200, 81).split(), prose(200, 82).split()
+    edited = lambda w, *at: " ".join("changed" if i in at else x for i, x in enumerate(w))
+    # 1 and 2 are linked by a row without an id only
+    rows = [(1, edited(a, 10, 50)), (None, edited(a, 10)), (2, edited(a, 10, 90)), (None, edited(b)), (None, edited(b)), (None, edited(b, 9)), (3, edited(c, 1)), (None, edited(c))]
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3), 5, 94, 100).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (None, None), (3, 3), (None, 3)], key=str)
+
+
 def brute_substrings(rows, length):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))

@@ -35,3 +35,14 @@ def test_pipeline(spark, tmp_path):
     assert packed[1] == leaks[1]
     assert [s[2].columns for s in seen[:-1]] == [["doc_id", "text", "lang", "source", "n_chars"]] * 4
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == packed[1]
+
+
+def test_rows_without_ids(spark, tmp_path):
+    a, b, item = prose(80, 1), prose(80, 2), prose(40, 3)
+    rows = [(5, a + " end"), (None, a), (None, b), (None, b), (None, b + " end"), (None, prose(20, 4) + " " + item), (None, None), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert [r["doc_id"] for r in kept if (r["text"] or "").startswith(a)] == [5] and sum((r["text"] or "").startswith(b) for r in kept) == 1 and len(kept) == 6
+    left = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()
+    assert len(left) == len(rows) - 1 and not any(item in (r["text"] or "") for r in left)

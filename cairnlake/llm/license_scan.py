@@ -113,11 +113,11 @@ def markers(templates: dict[str, str], threshold: float) -> list[str]:
             if (k, pair) not in met:
                 met.add((k, pair))
                 need[k] -= 1
-    return sorted(w for w in out if not any(v != w and v in w for v in out))
+    return sorted((w for w in out if not any(v != w and v in w for v in out)), key=lambda w: (len(w), w))
 
 
-def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+def _normal(low: Column) -> Column:
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
 def _bigrams(unit: Column) -> Column:
@@ -144,7 +144,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     # strings that are split are one literal each once folded, however long
     bloom = F.split(F.lit(" ".join(str(int.from_bytes(bits[i : i + 4], "little")) for i in range(0, len(bits), 4))), " ").cast("array<bigint>")
     known = F.array(*[F.struct(F.lit(len(sets[n])).alias("n"), F.lit(-k).alias("rank"), F.lit(n).alias("name"), F.split(F.lit("|".join(sets[n])), "[|]").alias("pairs")) for k, n in enumerate(names)])
-    has = lambda c: F.exists(F.array(*map(F.lit, marks)), lambda w: F.contains(F.lower(c), w))
+    has = lambda c: F.exists(F.array(*map(F.lit, marks)), lambda w: F.contains(c, w))
     marks = markers(templates, threshold)
     t = F.col(text)
     any_mark = F.lit(False)
@@ -164,7 +164,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
         return F.transform(known, one)
 
     least = min(map(len, sets.values())) * low - 1e-9
-    grams = F.filter(F.transform(F.filter(units, has), _bigrams), lambda g: (F.size(g) >= least) & (F.size(F.filter(g, listed)) >= F.size(g) * low - 1e-9))
+    grams = F.filter(F.transform(F.filter(F.transform(units, F.lower), has), _bigrams), lambda g: (F.size(g) >= least) & (F.size(F.filter(g, listed)) >= F.size(g) * low - 1e-9))
     best = F.transform(grams, lambda g: F.array_max(F.filter(score(g), lambda s: s["dice"] >= threshold)))
     best = F.filter(best, lambda s: s.isNotNull())
     rest = [c for c in docs.columns if c not in ("license", "dice", "n_units")]

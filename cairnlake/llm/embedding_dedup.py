@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnlake.llm.graph import components
+from cairnlake.llm.graph import components, forest
 from cairnlake.llm.runtime import materialise, trimmed
 
 COSINE = 0.95
@@ -108,20 +108,6 @@ def _units(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of n nodes reaches by the links a - b."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = np.minimum(new, new[new])
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _answer(index: Index, rows: pa.Table, dim: int, cosine: float) -> pa.Table:
     """Links between the queries and the members of one block pair: (id, links, root)."""
     delta = math.sqrt(2 - 2 * cosine)
@@ -142,7 +128,7 @@ def _answer(index: Index, rows: pa.Table, dim: int, cosine: float) -> pa.Table:
     nodes, place = np.unique(np.concatenate([ids[q], ids[m]]), return_inverse=True)
     a, b = place[: len(q)][i[kept]], place[len(q) :][j[kept]]
     links = np.bincount(a, weight[m[j[kept]]], len(nodes)) + np.bincount(b, weight[q[i[kept]]], len(nodes))
-    root = nodes[_forest(a, b, len(nodes))]
+    root = nodes[forest(a, b, len(nodes))]
     some = links > 0
     return pa.table({"id": pa.array(nodes[some]), "links": pa.array(links[some].astype(np.int64)), "root": pa.array(root[some])})
 

@@ -72,6 +72,24 @@ def test_jaccard(spark, size, num):
     assert got == brute_jaccard(rows, size, num, 100)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_open_lists(spark, monkeypatch, block):
+    """Groups of near copies on both sides of the threshold, led by a short text, in one block and in many."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r, rows = random.Random(4), []
+    for base in range(3):
+        words = prose(120, 400 + base).split()
+        rows.append((len(rows), " ".join(words[:100])))
+        for _ in range(25):
+            new = words[:]
+            for _ in range(r.choice([1, 2, 4, 6])):
+                new[r.randrange(len(new))] = r.choice(VOCABULARY)
+            rows.append((len(rows), " ".join(new)))
+    got = {x[0]: (x[1], x[2]) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3), 3, 90, 100).collect()}
+    want = brute_jaccard(rows, 3, 90, 100)
+    assert got == want and 3 < len({c for _, c in want.values()}) < len(rows)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], DOCS)).collect() == []
     assert [tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame([(None, "a b c"), (4, "a b c")], DOCS)).orderBy("doc_id").collect()] == [(None, 1, 4), (4, 1, 4)]

@@ -209,6 +209,50 @@ def test_html_article_is_a_hint():
     assert html_text.main_text(f"<article><h1><a href=x>Title</a></h1><p>Short.</p><ul>{links}</ul><p>{long}</p></article>") == " ".join(f"Title Short. {long}".split())
 
 
+def test_html_names_are_hints():
+    long = "A sentence that is long enough to make the text surge here. " * 3
+    story = f"<h1>Title</h1><p>{long}</p><p>{long}</p>"
+    want = " ".join(f"Title {long} {long}".split())
+    for page in (
+        f'<div class="overflow-hidden">{story}</div>',
+        f'<div class="content has-sidebar"><article>{story}</article></div>',
+        f'<div id="page" class="site no-sidebar">{story}</div>',
+        f'<article><div class="legal">{story}</div></article>',
+        f"<div data-hidden>{story}</div>",
+        f'<div class="sidebar-wrap">{story}</div>',
+        f'<div><h1>Title</h1><p>{long}</p><div class="market share"><p>{long}</p></div></div>',
+        f'<article>{story}</article><div class="sidebar">{story * 4}</div><div class=site-footer>Foot</div><div class="cookie_notice">{long}</div><div hidden>{long}</div><p class="share">Tell friends</p><div id="my-advertising">{long}</div>',
+        f"<article>{story.replace('Title', '<a title=it&#39;s href=x>Title</a>').replace('&#39;', chr(39))}</article>",
+        f"<div><a href=x>Home</a></div><div>{story}</div>",
+    ):
+        assert html_text.main_text(f"<body>{page}</body>") == want, page
+    assert html_text.main_text(f"<body><div><p>{long}</p><p><a href=x>Linked line</a></p><p>{long}</p></div>") == " ".join(f"{long} Linked line {long}".split())
+    assert html_text.main_text(f"<article><p>{long} <math><mi>x</mi></math> and <object>fallback</object></p><p>The <span class=share>share</span> rose.</p></article>") == " ".join(f"{long} x and fallback The share rose.".split())
+    deep = "<div>" * 3000 + story + "</div>" * 3000
+    assert html_text.main_text(deep) == want
+    assert len(html_text.main_text(f"<article><h1>Title</h1>{f'<p>{long}</p>' * 3000}</article>")) > 500_000
+
+
+def test_html_distribution():
+    """The stretches against their definition, line by line."""
+    r = random.Random(8)
+    for _ in range(300):
+        own = [r.choice([0, 0, 10, 30, 90, 300]) for _ in range(r.randint(1, 25))]
+        lines = [(f"{k}" + "x" * n, len(str(k)), True) for k, n in enumerate(own)]
+        block = [sum(own[i : i + 3]) for i in range(len(own))]
+        # a line is within text if no dive (three lines or the page's end without text) begins at or before it since the last line that isn't in one
+        groups: list[list[int]] = []
+        for i, b in enumerate(block):
+            if b and (i == 0 or not block[i - 1]):
+                groups.append([])
+            if b:
+                groups[-1].append(i)
+        groups = [[i for i in g if i >= next(k for k in g if own[k])] if g[0] else g for g in groups]
+        surge = [any(block[i] > 80 for i in range(*(g[0], g[-1] + 1))) or any(block[i] > 80 for i in range(max(0, g[0] - 2), g[0]) if all(own[k] == 0 for k in range(i, g[0]))) for g in groups]
+        want = [i for k, g in enumerate(groups) if surge[k] or not any(surge) or k == 0 for i in g]
+        assert html_text.main_lines(lines) == [lines[i][0] for i in want]
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, "u"), (2, "<p>a", "v"), (2, "<p>a", "v")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_text.extract(df).select("page_id", "text", "n_chars").orderBy("page_id").collect()] == [(1, "", 0), (2, "a", 1), (2, "a", 1)]

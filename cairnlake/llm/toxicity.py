@@ -3,7 +3,9 @@
 A logistic regression on which words, and which four- and five-byte word beginnings,
 occur in a text.  Identity terms of labelled texts are swapped for others of their
 group, and the squared change of the score is penalised, so that the mention of a
-group weighs nothing by itself.
+group weighs nothing by itself.  Terms are those of a list, and those that the labelled
+texts themselves show to be neutral mentions: frequent words of both classes that tell
+nothing of the class.  So the penalty acts on texts of any language.
 
 Fitting sees at most ``MAX_ROWS`` labelled rows, ``MAX_FEATURES`` features, both
 parameters; counts of features are combined by the executors, and the driver gets
@@ -14,12 +16,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,9 @@ MAX_FEATURES = 4096
 LEAST_TEXTS = 4
 LEAST_Z = 3.0
 COUNTERFACTUAL = 1.0
+NEUTRAL_TERMS = 64
+NEUTRAL_LETTERS = 4
+NEUTRAL_Z = 1.0
 L2 = 1e-4
 STEPS = 400
 TABLE_BITS = 22
@@ -49,12 +54,35 @@ IDENTITY_TERMS = [
     ["immigrants", "refugees", "citizens"],
     ["disabled", "blind", "deaf"],
     ["old", "young", "elderly"],
+    ["frauen", "männer"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten"],
+    ["ausländer", "flüchtlinge", "einwanderer"],
+    ["femmes", "hommes"],
+    ["musulmans", "chrétiens", "juifs"],
+    ["étrangers", "réfugiés", "immigrés"],
+    ["mujeres", "hombres"],
+    ["musulmanes", "cristianos", "judíos"],
+    ["extranjeros", "refugiados", "inmigrantes"],
 ]
 
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_NEXT = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
-_NAMES = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=lambda t: (-len(t), t))) + r")\b")
+
+
+class Swap:
+    """Replaces each term by the next of its group."""
+
+    def __init__(self, groups: list[list[str]]):
+        self.next = {t: g[(i + 1) % len(g)] for g in reversed(groups) for i, t in enumerate(g) if len(g) > 1}
+        self.names = re.compile(r"\b(" + "|".join(re.escape(t) for t in sorted(self.next, key=lambda t: (-len(t), t))) + r")\b") if self.next else None
+
+    def __call__(self, text: str | None) -> str | None:
+        """The text with its terms replaced, lower-cased; None without a term."""
+        if not text or self.names is None:
+            return None
+        text = text.lower()
+        out, n = self.names.subn(lambda m: self.next[m[0]], text)
+        return out if n else None
 
 
 def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,11 +104,6 @@ def _word_feature(word: str) -> int:
     return int(mix(Spans(raw)(np.array([0]), np.array([len(raw)])), 1)[0])
 
 
-def swapped(text: str) -> str:
-    """The text with each identity term replaced by the next of its group."""
-    return _NAMES.sub(lambda m: _NEXT[m[0]], text.lower())
-
-
 def learnable(labels: DataFrame) -> DataFrame:
     """The labels that may be learnt from: all but the quarter whose ids' checksums leave 2, which is held out."""
     return labels.where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "toxic")
@@ -88,11 +111,13 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted feature keys, their weights, and the bias."""
+    """Sorted feature keys, their weights, and the bias; the terms swapped in fitting, and how many texts held one."""
 
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    terms: list[list[str]] = field(default_factory=list)
+    swapped: int = 0
 
     def _table(self) -> np.ndarray:
         slots = np.full(1 << TABLE_BITS, -1, np.int32)
@@ -141,13 +166,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (keys.view(np.int64), pos, neg)], names=["feature", "pos", "neg"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, counterfactual: float = COUNTERFACTUAL) -> Model:
+def _odds(p: int, q: int) -> tuple[Column, Column]:
+    """(log odds ratio of toxic and other texts, its z) of what ``pos`` of p toxic and ``neg`` of q other texts hold."""
+    pos, neg = F.col("pos") + 0.5, F.col("neg") + 0.5
+    odds = F.log(pos / (p + 1 - pos)) - F.log(neg / (q + 1 - neg))
+    return odds, F.abs(odds) / F.sqrt(1 / pos + 1 / neg)
+
+
+def neutral_terms(rows: DataFrame, p: int, q: int, most: int = NEUTRAL_TERMS) -> list[list[str]]:
+    """Pairs of words about as frequent as each other, the most frequent that ``rows`` (text, toxic) show to be neutral.
+
+    ``most`` words are collected; they occur in texts of both classes and their log odds
+    ratio is within ``NEUTRAL_Z`` of its standard errors.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: (F.char_length(w) >= NEUTRAL_LETTERS) & w.rlike(r"^\p{L}+$")))
+    counts = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"))
+    best = counts.where((F.least("pos", "neg") >= LEAST_TEXTS) & (_odds(p, q)[1] < NEUTRAL_Z)).orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(most).collect()
+    return [[a["word"], b["word"]] for a, b in zip(best[::2], best[1::2], strict=False)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, counterfactual: float = COUNTERFACTUAL, identity_terms: list[list[str]] | None = None, neutral: int = NEUTRAL_TERMS) -> Model:
     """Fit on ``labels`` (doc_id, toxic 0 or 1) of ``docs`` (doc_id, text).
 
     Of more than ``max_rows`` labelled documents those with the smallest hash of their
     id are taken.  A document with both labels counts as toxic; null labels and ids are
     left out.  Without a labelled document, or with one class alone, the model is that
-    class's share (0.5 without any).
+    class's share (0.5 without any); so it is where no feature is frequent enough.  A
+    document that stands twice counts twice.  ``identity_terms``: groups of terms that
+    may stand for each other (``IDENTITY_TERMS``); ``neutral``: how many words the texts
+    may add to them.
     """
     sample = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     # at most max_rows short rows: a proven bound
@@ -158,11 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
     if not p or not q:
         share = (p + 0.5) / (p + q + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    odds = F.log((F.col("pos") + 0.5) / (p - F.col("pos") + 0.5)) - F.log((F.col("neg") + 0.5) / (q - F.col("neg") + 0.5))
-    z = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    terms = (IDENTITY_TERMS if identity_terms is None else identity_terms) + neutral_terms(rows, p, q, neutral)
+    swap = Swap(terms)
+    z = _odds(p, q)[1]
     best = counts.where(F.col("pos") + F.col("neg") >= LEAST_TEXTS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect()
-    keys = {int(r["feature"]) & 0xFFFFFFFFFFFFFFFF for r in best} | {_word_feature(t) for t in _NEXT}
-    model = Model(np.array(sorted(keys), np.uint64), np.zeros(len(keys)), 0.0)
+    keys = {int(r["feature"]) & 0xFFFFFFFFFFFFFFFF for r in best} | {_word_feature(t) for t in swap.next}
+    model = Model(np.array(sorted(keys), np.uint64), np.zeros(len(keys)), 0.0, terms)
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def numbers(texts: pa.Array) -> list[list[int]]:
@@ -174,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 
         for batch in batches:
             texts = batch.column(0)
-            other = pa.array([swapped(t) if t and _NAMES.search(t.lower()) else None for t in texts.to_pylist()], pa.string())
+            other = pa.array(map(swap, texts.to_pylist()), pa.string())
             cf = [None if not ok else x for x, ok in zip(numbers(other), other.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(numbers(texts), pa.list_(pa.int32())), pa.array(cf, pa.list_(pa.int32()))], names=["toxic", "x", "cf"])
 
@@ -185,6 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_featur
 def _trained(model: Model, y: np.ndarray, x: list, cf: list, counterfactual: float) -> Model:
     """Full-batch Adam on the mean log loss, L2 and the penalty on swaps."""
 
+    def total(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at, values, n).astype(float)  # of nothing it would be integers
+
     def sparse(rows: list) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*(np.asarray(r, np.int64) for r in rows), np.zeros(0, np.int64)])
 
@@ -197,19 +248,19 @@ def _trained(model: Model, y: np.ndarray, x: list, cf: list, counterfactual: flo
     w[k] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, STEPS + 1):
-        logit = np.bincount(row, w[col], n) + w[k]
+        logit = total(row, w[col], n) + w[k]
         error = (1 / (1 + np.exp(-np.clip(logit, -35, 35))) - y) / n
-        grad = np.bincount(col, error[row], k + 1)
+        grad = total(col, error[row], k + 1)
         grad[k] = error.sum()
         grad[:k] += 2 * L2 * w[:k]
         if own:
-            change = np.bincount(b_row, w[b_col], len(own)) - np.bincount(a_row, w[a_col], len(own))
+            change = total(b_row, w[b_col], len(own)) - total(a_row, w[a_col], len(own))
             change *= 2 * counterfactual / len(own)
-            grad += np.bincount(b_col, change[b_row], k + 1) - np.bincount(a_col, change[a_row], k + 1)
+            grad += total(b_col, change[b_row], k + 1) - total(a_col, change[a_row], k + 1)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(model.keys, w[:k], float(w[k]))
+    return Model(model.keys, w[:k], float(w[k]), model.terms, len(own))
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity", text: str = "text") -> DataFrame:

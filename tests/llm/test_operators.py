@@ -367,12 +367,44 @@ def test_toxicity_counterfactuals(spark):
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
-    fair, naive = toxicity.fit(docs, marks, counterfactual=20.0), toxicity.fit(docs, marks, counterfactual=0.0)
+    fair, naive = toxicity.fit(docs, marks, neutral=0, counterfactual=20.0), toxicity.fit(docs, marks, neutral=0, counterfactual=0.0)
     probe = spark.createDataFrame([(0, "a muslim went home"), (1, "a christian went home"), (2, "such a vilething here"), (3, None), (4, "")], DOCS)
     scores = lambda m: [x["toxicity"] for x in toxicity.score(probe, m).orderBy("doc_id").collect()]
     f, n = scores(fair), scores(naive)
     assert abs(f[0] - f[1]) < abs(n[0] - n[1]) and f[0] < 0.3 and f[2] > f[0] and f[3] == f[4] and all(0 <= x <= 1 for x in f)
     assert toxicity.fit(docs, marks.limit(0)).bias == 0.0
+    shipped = toxicity.fit(docs, marks)
+    g = scores(shipped)
+    assert shipped.swapped > 300 and abs(g[0] - g[1]) < abs(n[0] - n[1]) and g[0] < 0.3 and g[2] > 0.5
+
+
+@pytest.mark.parametrize("texts", [["one"] * 8, [None, "", "a", "b"] * 2, ["x " * 200_000 + "y"] * 8])
+def test_toxicity_of_few_texts(spark, texts):
+    """Ties, nulls, one-word and very long texts; labels of unknown and null ids; a document with both labels; clashing columns."""
+    docs = spark.createDataFrame([(i, t, "old", 0.0) for i, t in enumerate(texts)] + [(None, "n", "old", 0.0), (0, texts[0], "old", 0.0)], "doc_id long, text string, toxic string, toxicity double")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(1, 0), (None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, marks))
+    assert got.columns == ["doc_id", "text", "toxic", "toxicity"] and got.count() == 10 and got.where("toxicity between 0 and 1").count() == 10
+    one = toxicity.score(docs, toxicity.fit(docs, marks.where("toxic = 1"))).select("toxicity").distinct().collect()
+    assert len(one) == 1 and one[0][0] > 0.5
+
+
+def test_toxicity_swaps_on_held_out_texts(spark):
+    """With the shipped weight, swapping terms in held-out sentences changes scores less than without it."""
+    import os
+
+    at = "/root/testdata/sf0.01"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    fair, naive = (toxicity.fit(docs, toxicity.learnable(labels), counterfactual=c) for c in (toxicity.COUNTERFACTUAL, 0.0))
+    held = [r["text"] for r in docs.join(labels, "doc_id").where("crc32(cast(doc_id as string)) % 4 = 2").collect()]
+    swap = toxicity.Swap(fair.terms)
+    import pyarrow as pa
+
+    pairs = [(t, swap(t)) for t in held if swap(t)]
+    gap = lambda m: np.abs(m.score(pa.array([a for a, _ in pairs])) - m.score(pa.array([b for _, b in pairs]))).mean()
+    assert fair.swapped > 0 and len(pairs) > 10 and gap(fair) < gap(naive)
 
 
 def test_toxicity_held_out(spark):

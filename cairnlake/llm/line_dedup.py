@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairnlake.llm.runtime import materialise
 
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 SALTS = 32
 BROADCAST_BYTES = 16 << 20
 
@@ -27,6 +27,8 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     """(host, lines): per host the hashes of its boilerplate lines.
 
     A line that stands twice in a page counts once for it; blank lines never count.
+    One that a single page holds is no repetition whatever its ratio (``min_pages``): else
+    hosts of a few pages would lose all their text.
     There are at most (mean lines of a page / ratio) of them a host, so a list is bounded.
     """
     own = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("h"), F.col(text).alias("t"))
@@ -43,7 +45,8 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     ``pages`` with ``text`` replaced, ``n_lines`` (lines the page had) and
     ``n_dropped``.  A null text stays null with 0 lines; an empty one has one empty
     line, which is kept.  A null host is the host ``''``.  A repeated row is a page of
-    its own.  Columns named n_lines or n_dropped are replaced.
+    its own, so on a host of few pages copies lose their common lines.  Columns named
+    n_lines or n_dropped are replaced.
     """
     flagged = materialise(boilerplate(pages, ratio, min_pages, text, host).select(F.col("h").alias("__h"), F.col("lines").alias("__lines")), "boilerplate")
     size = flagged.agg(F.sum(64 + F.octet_length("__h") + 8 * F.size("__lines")).alias("bytes")).first()["bytes"] or 0

@@ -42,7 +42,7 @@ ORACLE_SQL["op10_line_dedup"] = """
 with d as (select doc_id, coalesce(source, '') as h, text, string_split(text, chr(10)) as ls from documents),
 totals as (select h, count(*) as pages from d group by h),
 counts as (select h, line, count(*) as n from (select h, unnest(list_distinct(list_transform(ls, lambda x: trim(x, ' ')))) as line from d) where line <> '' group by h, line),
-bad as (select counts.h, list(line) as bl from counts join totals on counts.h = totals.h where n >= 5 and n / pages > 0.1 group by counts.h),
+bad as (select counts.h, list(line) as bl from counts join totals on counts.h = totals.h where n >= 2 and n / pages > 0.1 group by counts.h),
 k as (select doc_id, text, ls, list_filter(ls, lambda x: trim(x, ' ') = '' or not list_contains(coalesce(bl, []), trim(x, ' '))) as kept from d left join bad on d.h = bad.h)
 select doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(len(ls) - len(kept), 0)::bigint as n_dropped, case when text is not null then md5(array_to_string(kept, chr(10))) end as kept_md5 from k
 """

@@ -38,6 +38,7 @@ CODES = 256
 MAX_LISTS = 4096
 MARGIN = 4.0
 BLOCK = 1024
+NAMELESS = 1 << 62  # from here on, ids of vectors that have none
 _ROUNDS = 8
 
 
@@ -105,6 +106,7 @@ class Index:
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
     x = np.asarray(column.flatten(), np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1)[:, None]  # else squares of very small or large components are lost
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -140,15 +142,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     ``n_links`` counts the others linked directly, ``component_id`` is the smallest vec_id
     reachable, ``kept`` whether that is the vector itself.  A null, empty or zero vector,
     one with a null or non-finite component, and one of another length than its
-    partners link with nothing.  A repeated row is a vector of its own.
+    partners link with nothing.  A repeated row is a vector of its own.  A vector without
+    a vec_id counts among its partners' links and takes part in their component, but
+    never names it: without a named partner its component_id is null.
     """
     spark = vectors.sparkSession
     rows = vectors.selectExpr("cast(vec_id as long) as vec_id", "cast(embedding as array<double>) as vector")
     good = F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate("vector", F.lit(0.0), lambda acc, v: acc + v * v)
-    good = F.coalesce(good & (norm > 0) & (norm < float("inf")), F.lit(False))
+    good = F.coalesce(good & F.exists("vector", lambda v: v != 0), F.lit(False))
     keyed = rows.select("vec_id", F.when(good, F.xxhash64("vector")).alias("k1"), F.when(good, F.xxhash64(F.lit(7), "vector")).alias("k2"), F.when(good, F.col("vector")).alias("vector"))
-    classes = materialise(keyed.where("vector is not null and vec_id is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "vectors")
+    nameless = F.first(F.col("k1").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+    classes = materialise(keyed.where("vector is not null").groupBy("k1", "k2").agg(F.coalesce(F.min("vec_id"), nameless).alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")), "vectors")
     found = None
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy(F.size("vector").alias("dim")).count().collect()):
         one = _links(classes.where(F.size("vector") == dim), dim, n, cosine, sample, margin, lists)
@@ -160,8 +164,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     known = classes.select("k1", "k2", "id", "weight").join(found.groupBy("id").agg(F.sum("links").alias("links")), "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
     known = materialise(known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "id").alias("c")).where("n > 0"), "known")
     out = keyed.select("vec_id", "k1", "k2").join(known, ["k1", "k2"], "left")
-    component = F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("c")), F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce(F.when(F.col("c") < NAMELESS, F.col("c")), F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").eqNullSafe(component)).alias("kept"))
 
 
 def _links(classes: DataFrame, dim: int, n: int, cosine: float, sample: int, margin: float, lists: int | None) -> DataFrame:

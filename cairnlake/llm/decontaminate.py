@@ -26,8 +26,13 @@ BROADCAST_ROWS = 200_000
 MAX_BLOOM_WORDS = 1 << 17
 
 _BLOCKS = [(64 * k // (RADIUS + 1), 64 * (k + 1) // (RADIUS + 1)) for k in range(RADIUS + 1)]
-_SPREAD = [sum(1 << (16 * j) for j in range(4) if v >> j & 1) for v in range(16)]
-_SPREAD = [v - (1 << 64) if v >= 1 << 63 else v for v in _SPREAD]
+MOST_SHORT = 65_535
+
+
+def _spread(width: int) -> list[int]:
+    """For each value of as many bits as counters of ``width`` bits fit a long, a long with a one in the counters of its set bits."""
+    own = [sum(1 << (width * j) for j in range(64 // width) if v >> j & 1) for v in range(1 << 64 // width)]
+    return [v - (1 << 64) if v >= 1 << 63 else v for v in own]
 
 
 def words_of(text: Column) -> Column:
@@ -50,15 +55,26 @@ def _shingles(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0))), lambda i: _shingle(words, i))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _sums(h: Column, width: int) -> Column:
+    """How often each of the 64 bits is set in the hashes: counters of ``width`` bits, as many as fit in each sum."""
+    spread, per = F.lit(_spread(width)).cast("array<bigint>"), 64 // width
+    digit = lambda x, k: (F.call_function("shiftrightunsigned", x, per * k).bitwiseAND(F.lit((1 << per) - 1)) + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.call_function("try_add", acc, F.element_at(spread, digit(x, k)))))
+
+
 def _fingerprinted(df: DataFrame, hashes: str, name: str) -> DataFrame:
-    """``df`` with the SimHash of ``hashes``: four 16-bit counters in each of 16 sums, one counter a bit."""
-    spread, h = F.lit(_SPREAD).cast("array<bigint>"), F.col(hashes)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.call_function("try_add", acc, F.element_at(spread, (F.call_function("shiftrightunsigned", x, 4 * k).bitwiseAND(F.lit(15)) + 1).cast("int")))))
-    df, s = held(df, "__sums", sums), F.col("__sums")
+    """``df`` with the SimHash of ``hashes``: counters of 16 bits, of 32 for more than ``MOST_SHORT`` hashes."""
+    h, short = F.col(hashes), F.size(hashes) <= MOST_SHORT
+    df, s = held(df, "__sums", F.when(short, _sums(h, 16)).otherwise(_sums(h, 32))), F.col("__sums")
+
+    def over(b: int, width: int) -> Column:
+        per = 64 // width
+        return 2 * F.shiftrightunsigned(F.element_at(s, b // per + 1), width * (b % per)).bitwiseAND(F.lit((1 << width) - 1)) > F.size(h)
+
     out = F.lit(0).cast("long")
     for b in range(64):
-        over = 2 * F.shiftrightunsigned(F.element_at(s, b // 4 + 1), 16 * (b % 4)).bitwiseAND(F.lit(65535)) > F.size(h)
-        out = out.bitwiseOR(F.when(over, F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0).cast("long")))
+        set_ = F.when(short, over(b, 16)).otherwise(over(b, 32))
+        out = out.bitwiseOR(F.when(set_, F.lit((1 << b) - (1 << 64) * (b == 63))).otherwise(F.lit(0).cast("long")))
     return df.withColumn(name, out).drop("__sums")
 
 
@@ -66,7 +82,8 @@ def _counted(df: DataFrame, hashes: str, name: str) -> DataFrame:
     """``df`` with each element and the number of equal ones before it, so that sets of them are multisets."""
     df = held(df, "__order", F.array_sort(hashes))
     order = F.col("__order")
-    return df.withColumn(name, F.transform(order, lambda h, i: F.struct(h.alias("h"), (i - F.array_position(order, h)).alias("k")))).drop("__order")
+    before = lambda h, i: F.when(F.get(order, i - 1) == h, i - F.array_position(order, h) + 1).otherwise(F.lit(0).cast("long"))  # noqa: E731  most have none
+    return df.withColumn(name, F.transform(order, lambda h, i: F.struct(h.alias("h"), before(h, i).alias("k")))).drop("__order")
 
 
 def _bloom(item_shingles: DataFrame) -> list[int]:
@@ -97,19 +114,22 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, position): each document with each item it holds.
 
     ``docs`` (doc_id, text), ``benchmark`` (item_id, text).  ``similarity`` is the largest
     weighted 5-word-shingle Jaccard similarity of the item and a window of as many words
     (fewer at the text's end), at least ``threshold``; ``position`` is the first word of
     the first such window.  Null and empty texts and items match nothing; an item of
-    fewer words than a shingle is one shingle.  Repeated rows give one result.
+    fewer words than a shingle is one shingle.  Repeated rows give one result; a null
+    doc_id or item_id is an id like others.  ``exact``: every window that shares a probed
+    shingle with an item is compared with it, whatever their fingerprints, so that none
+    is missed.
     """
     spark = docs.sparkSession
     items = held(benchmark.select("item_id", "text"), "words", words_of(F.col("text"))).where(F.size("words") > 0).select("item_id", F.size("words").alias("n"), _shingles(F.col("words")).alias("items")).distinct()
-    items = materialise(_counted(_fingerprinted(items, "items", "item_fp"), "items", "item_set"), "items")
-    offsets = items.select("item_id", "n", F.size("items").alias("m"), F.posexplode("items").alias("offset", "h"))
+    items = materialise(_counted(_fingerprinted(items, "items", "item_fp"), "items", "item_set").withColumn("item", F.monotonically_increasing_id()), "items")
+    offsets = items.select("item", "n", F.size("items").alias("m"), F.posexplode("items").alias("offset", "h"))
     sizes = [r["m"] for r in offsets.select("m").distinct().collect()]
     n_items, n_offsets = items.count(), offsets.count()
     stride, short = stride_for(sizes, threshold), items.where(F.col("n") < SHINGLE).limit(1).count() > 0
@@ -132,23 +152,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     near = materialise(held(near, "hits", hits).where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "near")
 
     # every start whose window of the item's length holds a hit: parts of an item may have changed places
-    spots = near.select("row", F.explode("hits").alias("hit")).select("row", "hit.p", "hit.h").join(_small(offsets.select("h", "n").distinct(), n_offsets), "h")
-    spots = spots.groupBy("row", "n").agg(F.collect_set("p").alias("ps"))
+    of = ["n", "item"] if exact else ["n"]
+    spots = near.select("row", F.explode("hits").alias("hit")).select("row", "hit.p", "hit.h").join(_small(offsets.select("h", *of).distinct(), n_offsets), "h")
+    spots = spots.groupBy("row", *of).agg(F.collect_set("p").alias("ps"))
     span = lambda p: F.sequence(F.greatest(p - F.col("n") + F.least("n", F.lit(SHINGLE)), F.lit(0)), p)
-    starts = spots.join(near.select("row", "words"), "row").select("row", "n", "words", F.explode(F.array_distinct(F.flatten(F.transform("ps", span)))).alias("start"))
+    starts = spots.join(near.select("row", "words"), "row").select("row", *of, "words", F.explode(F.array_distinct(F.flatten(F.transform("ps", span)))).alias("start"))
+    count = lambda n: F.greatest(n - SHINGLE + 1, F.lit(1))  # noqa: E731  shingles of n words
+    starts = starts.where(count(F.least("n", F.size("words") - F.col("start"))) >= count(F.col("n")) * threshold - 1e-9)  # at the text's end, too short ones are no match
 
     def hashed(starts: DataFrame) -> DataFrame:
         return held(held(starts, "window", F.slice(F.col("words"), F.col("start") + 1, F.col("n"))).drop("words"), "hashes", _shingles(F.col("window"))).drop("window")
 
-    windows = materialise(_fingerprinted(hashed(starts), "hashes", "fp").select("row", "n", "start", "fp"), "windows")
-
     def blocks(fp: Column) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(_BLOCKS)])
 
-    left = windows.select("row", "n", "start", "fp", F.explode(blocks(F.col("fp"))).alias("block"))
-    right = items.select("item_id", "n", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block"))
-    pairs = left.join(_small(right, len(_BLOCKS) * n_items), ["n", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "n", "start", "item_id").distinct()
-    checked = hashed(pairs.join(near.select("row", "doc_id", "words"), "row")).join(_small(items.select("item_id", "items", "item_set"), n_items), "item_id")
+    if exact:
+        pairs = starts.select("row", "n", "start", "item")
+    else:
+        windows = materialise(_fingerprinted(hashed(starts), "hashes", "fp").select("row", "n", "start", "fp"), "windows")
+        left = windows.select("row", "n", "start", "fp", F.explode(blocks(F.col("fp"))).alias("block"))
+        right = items.select("item", "n", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block"))
+        pairs = left.join(_small(right, len(_BLOCKS) * n_items), ["n", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "n", "start", "item").distinct()
+    checked = hashed(pairs.join(near.select("row", "doc_id", "words"), "row")).join(_small(items.select("item", "item_id", "items", "item_set"), n_items), "item")
     checked = _counted(checked, "hashes", "window_set")
     both = F.size(F.array_intersect("window_set", "item_set"))
     checked = checked.select("doc_id", "item_id", "start", (both / (F.size("hashes") + F.size("items") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)

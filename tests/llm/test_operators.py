@@ -145,10 +145,13 @@ def test_embeddings(spark):
     for k in range(120):
         rows.append((1000 + k, [float(x) for x in base[k % 40] + r.normal(size=16) * r.choice([0.02, 0.2, 0.33])]))
     rows += [(2000 + k, rows[3][1]) for k in range(50)] + [(3000, None), (3001, []), (3002, [0.0] * 16), (3003, [float("nan")] * 16), (3004, [None] * 16), (3005, [1.0, 2.0]), (3006, [2.0, 4.0]), (3007, [float("inf")] * 16)]
+    rows += [(3100, [1e-200, 2e-200, 3e-200]), (3101, [1e200, 2e200, 3e200]), (None, [2e-300, 4e-300, 6e-300]), (None, [5.0, 1.0, 0.0, 0.0]), (None, [5.0, 1.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, margin=100.0, lists=12).collect()}
-    ids = [i for i, v in rows if i < 3000]
-    x = np.array([v for i, v in rows if i < 3000])
+    rows_of = [(r["vec_id"], (r["n_links"], r["component_id"], r["kept"])) for r in embedding_dedup.near_duplicates(df.selectExpr("*", "0 as id", "'x' as list", "1 as weight"), margin=100.0, lists=12).collect()]
+    got = dict(rows_of)
+    assert got[3100] == (2, 3100, True) and got[3101] == (2, 3100, False) and sorted((v for k, v in rows_of if k is None), key=str) == [(1, None, True), (1, None, True), (2, 3100, False)]
+    ids = [i for i, v in rows if i is not None and i < 3000]
+    x = np.array([v for i, v in rows if i is not None and i < 3000])
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
@@ -305,7 +308,11 @@ def test_lines(spark):
     rows = [(i, f"menu\nbody {i}\n\n" + ("menu" if i % 2 else ""), "h") for i in range(10)] + [(20, None, "h"), (21, "", None), (22, "menu\nx", "other"), (22, "menu\nx", "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(df).collect()}
-    assert got[0] == ("body 0\n\n", 4, 1) and got[1] == ("body 1\n", 4, 2) and got[20] == (None, 0, 0) and got[21] == ("", 1, 0) and got[22] == ("menu\nx", 2, 0)
+    assert got[0] == ("body 0\n\n", 4, 1) and got[1] == ("body 1\n", 4, 2) and got[20] == (None, 0, 0) and got[21] == ("", 1, 0) and got[22] == ("", 2, 2)
+    small = spark.createDataFrame([(k, f"menu\nbody {k}", 1.0, "h") for k in range(4)] + [(9, "alone\nsecond", 1.0, "i")], "doc_id long, text string, n_lines double, source string")
+    assert {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_dedup(small).collect()} == {**{k: (f"body {k}", 1) for k in range(4)}, 9: ("alone\nsecond", 0)}
+    long = spark.createDataFrame([(k, "menu\n" + "words " * 200_000 + str(k), "h") for k in range(3)], "doc_id long, text string, source string")
+    assert {r["n_dropped"] for r in line_dedup.line_dedup(long).collect()} == {1}
     assert line_dedup.line_dedup(df.limit(0)).collect() == []
 
 
@@ -354,6 +361,36 @@ def test_contamination_of_swapped_parts(spark):
     assert set(want) >= {(1, 1), (2, 2), (3, 3)} and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_contamination_recall(spark):
+    """Edited and shuffled passages about the threshold: fingerprints find nine of ten, the exact mode all."""
+    r, items, rows = random.Random(6), [], []
+    for k in range(40):
+        words = prose(r.choice([25, 40, 64, 90]), 7000 + k).split()
+        items.append((None if k == 39 else k, " ".join(words)))
+        for copy in range(3):
+            new = words[:]
+            for _ in range(r.choice([0, 1, 1, 2])):
+                new[r.randrange(len(new))] = "changed"
+            if copy == 2:
+                cut = r.randrange(len(new))
+                new = new[cut:] + new[:cut]
+            rows.append((None if k == 38 and copy == 0 else len(rows), prose(r.randint(0, 40), 8000 + len(rows)) + " " + " ".join(new) + " " + prose(r.randint(0, 40), 9000 + len(rows))))
+    docs, marks = spark.createDataFrame([(*x, "old", 1) for x in rows], "doc_id long, text string, item_id string, n int"), spark.createDataFrame([(*x, "h", 0) for x in items + items[:3]], "item_id long, text string, doc_id string, row int")
+    want = brute_contaminated(rows, items)
+    got = {exact: {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs, marks, exact=exact).collect()} for exact in (False, True)}
+    assert got[True] == set(want) and got[False] <= set(want) and len(got[False]) >= 0.9 * len(want) > 50
+
+
+def test_contamination_of_very_long_texts(spark, monkeypatch):
+    """A text of 150,000 words; counters of 32 bits give the same fingerprints."""
+    items = [(1, prose(60, 31)), (2, "ab " * 70)]
+    rows = [(1, prose(100_000, 32) + " " + items[0][1] + " " + prose(50_000, 33)), (2, "ab " * 300), (3, prose(500, 3))]
+    found = lambda: {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found() == {(1, 1), (2, 2)}
+    monkeypatch.setattr(decontaminate, "MOST_SHORT", 10)
+    assert found() == {(1, 1), (2, 2)}
+
+
 def test_toxicity_counterfactuals(spark):
     r = random.Random(3)
     rows, labels = [], []

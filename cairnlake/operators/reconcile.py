@@ -49,15 +49,14 @@ def _matched(catalog: Catalog, listing: DataFrame) -> DataFrame:
     by_path = files.join(old, ["root_id", "rel_path"], "left")
     hit, miss = by_path.where("old_id is not null").withColumn("how", F.lit("path")), by_path.where("old_id is null").select(files.columns)
     free = old.join(hit.select("old_id"), "old_id", "left_anti").where("old_device is not null and old_inode is not null").drop("root_id", "rel_path")
-    by_inode = miss.join(free.withColumn("device", F.col("old_device")).withColumn("inode", F.col("old_inode")), ["device", "inode"], "left")
-    # several files of one inode: the first path takes the row, the others are new
-    claim = F.row_number().over(Window.partitionBy("old_id").orderBy("root_id", "rel_path"))
-    first = F.col("old_id").isNotNull() & (claim == 1)
-    by_inode = by_inode.withColumn("first", first)
-    for name in [c for c in free.columns if c.startswith("old_")]:
-        by_inode = by_inode.withColumn(name, F.when(F.col("first"), F.col(name)))
-    by_inode = by_inode.withColumn("how", F.when(F.col("first"), "inode").otherwise("none")).drop("first")
-    return hit.unionByName(by_inode.select(hit.columns))
+    # rows and files of one inode are matched one to one, by id and by path; what is left over is missing or new
+    free = free.withColumn("k", F.row_number().over(Window.partitionBy("old_device", "old_inode").orderBy("old_id")))
+    known = F.col("device").isNotNull() & F.col("inode").isNotNull()
+    linked = miss.where(known).withColumn("k", F.row_number().over(Window.partitionBy("device", "inode").orderBy("root_id", "rel_path")))
+    by_inode = linked.join(free.withColumn("device", F.col("old_device")).withColumn("inode", F.col("old_inode")), ["device", "inode", "k"], "left")
+    by_inode = by_inode.withColumn("how", F.when(F.col("old_id").isNotNull(), "inode").otherwise("none"))
+    new = miss.where(~known).withColumn("how", F.lit("none"))
+    return hit.unionByName(by_inode.select(hit.columns)).unionByName(new, allowMissingColumns=True)
 
 
 def actions(catalog: Catalog, listing: DataFrame) -> DataFrame:

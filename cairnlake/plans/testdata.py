@@ -17,7 +17,7 @@ ORDERS = {
     "roots": "select cast(id as bigint) as id, path, role from (values (1,'/mnt/Urgent','source'),(2,'/mnt/High','source'),(3,'/mnt/Medium','source'),(4,'/vault/b','archive'),(5,'/vault/a','archive')) t(id,path,role)",
     "sources": """select o_orderkey as id, cast(substr(o_orderpriority,1,1) as bigint) as root_id,
  concat(o_orderstatus,'/c_',cast(o_custkey as {STR}),'/',cast(o_orderkey as {STR}), case o_orderkey % 5 when 0 then '.JPG' when 1 then '.png' when 2 then '.tar.gz' when 3 then '' else '.bak' end) as rel_path,
- cast(case when o_orderkey % 97 = 0 then null else 1 end as bigint) as device, case when o_orderkey % 97 = 0 then null else o_orderkey end as inode,
+ cast(case when o_orderkey % 97 = 0 then null else 1 end as bigint) as device, case when o_orderkey % 97 = 0 then null when o_orderkey % 43 = 1 then o_orderkey - 1 else o_orderkey end as inode,
  cast(floor(o_totalprice*1000) as bigint) as size, {EPOCH} as mtime, cast(o_orderkey % 3 as bigint) as basis_rev,
  cast(1700000000 as bigint) as scanned_at, cast(1700000000 as bigint) as last_seen_at, cast(case when o_orderkey % 13 = 0 then 0 else 1 end as bigint) as present,
  case when o_orderkey % 4 = 0 then null else o_custkey * 10 + o_orderkey % 10 end as object_id from {orders}""",
@@ -33,12 +33,16 @@ union all select 'object', id, 'content.tags', null, null, null, '["a","b"]', 17
 }
 LISTING = """select case when id % 37 = 0 then root_id % 3 + 1 else root_id end as root_id,
  case when id % 31 = 0 or id % 37 = 0 then concat('moved/', rel_path) else rel_path end as rel_path,
- cast(1 as bigint) as device, id as inode, case when id % 29 = 0 then size + 1 else size end as size, mtime from {sources} where id % 23 <> 0
-union all select root_id, concat('new/', rel_path), 1, id + 10000000, size, mtime from {sources} where id % 41 = 0"""
+ cast(1 as bigint) as device, coalesce(inode, id) as inode, case when id % 29 = 0 then size + 1 else size end as size, mtime from {sources} where id % 23 <> 0 and id % 86 > 1
+union all select root_id, concat('new/', rel_path), 1, id + 10000000, size, mtime from {sources} where id % 41 = 0
+union all select root_id, concat('linked/', rel_path), 1, inode, size, mtime from {sources} where id % 86 <= 1 and inode is not null and id % 4 < 2
+union all select root_id, concat('again/', rel_path), 1, inode, size, mtime from {sources} where id % 86 = 0 and inode is not null and id % 3 = 0"""
 IMPORT_LINES = """select event_id as ln, case when event_id % 50 = 49 then '{bad' else
  concat('{"source_id":', cast(event_id % 500 as {STR}), ',"basis_rev":', cast(case when event_id % 11 = 0 then 9 else event_id % 500 % 3 end as {STR}), ',"observed_at":', cast(1700000000 + event_id as {STR}), ',"facts":{',
  case when event_id % 5 = 0 then concat('"hash.sha256":"h', cast(user_id as {STR}), '",') else '' end,
  case when event_id % 7 = 0 then '"source.x":1,' else '' end,
+ case event_id % 13 when 0 then concat('"v":"2023-05-06T07:08:', lpad(cast(event_id % 60 as {STR}), 2, '0'), 'Z",') when 1 then concat('"v":"2023:05:06 07:08:', lpad(cast(event_id % 60 as {STR}), 2, '0'), '",')
+  when 2 then '"v":true,' when 3 then '"v":1.5e3,' when 4 then '"v":null,' when 5 then '"v":[1,"a"],' when 6 then '"v":{"a":1},' when 7 then '"v":"2023-05-06",' when 8 then '"v":false,' else '' end,
  '"mime":"', event_type, '",', substr(props, 2, length(props) - 2), '}}') end as line from {events}"""
 DOCS = {
     "roots": "select cast(id as bigint) as id, path, role from (values (1,'/lib/left','source'),(2,'/lib/right','source'),(3,'/vault/main','archive')) t(id,path,role)",

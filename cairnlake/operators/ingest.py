@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +26,17 @@ NUMBERED_LINES = 1 << 20
 
 @dataclass(frozen=True)
 class Imported:
-    """The catalog after, what became of each line, and the counters."""
+    """The catalog after, what became of each line, and the counters; all read lines that are parsed once and held."""
 
     catalog: Catalog
     outcomes: DataFrame
     counters: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give the parsed lines' storage back, once the results have been used."""
+        for df in self.held:
+            df.unpersist()
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -58,10 +65,13 @@ def _numbered(df: DataFrame, order: str, start: Column) -> DataFrame:
 
 
 def import_facts(catalog: Catalog, lines: DataFrame, allow_archived: bool = False, now: int | None = None) -> Imported:
-    """Import ``lines`` (ln, line); ``now`` stands in for a missing ``observed_at``."""
+    """Import ``lines`` (ln, line); ``now`` stands in for a missing ``observed_at``.
+
+    The lines are read and parsed once, whatever made them; see ``Imported.release``.
+    """
     spark = catalog.spark
     at = F.lit(now).cast("long") if now is not None else F.unix_timestamp()
-    verdicts = judged(catalog, lines, allow_archived)
+    verdicts = judged(catalog, lines, allow_archived).persist(StorageLevel.MEMORY_AND_DISK)
     ok = verdicts.where("outcome = 'ok'").select("ln", "source_id", "basis_rev", F.coalesce("observed_at", at).alias("observed_at"), "facts", "object_id")
     said = spark.sql("select ln, source_id, basis_rev, observed_at, object_id, key as raw_key, value from {ok}, lateral variant_explode(facts)", ok=ok)
     reserved = F.startswith(F.col("raw_key"), F.lit("source."))
@@ -69,6 +79,7 @@ def import_facts(catalog: Catalog, lines: DataFrame, allow_archived: bool = Fals
     pick = Window.partitionBy("ln", "key").orderBy(F.desc(F.startswith(F.col("raw_key"), F.lit("content."))))
     said = said.where(~reserved).withColumn("key", values.fact_key(F.col("raw_key"))).withColumn("pick", F.row_number().over(pick)).where("pick = 1").drop("pick")
     said = said.select("ln", "source_id", "basis_rev", "observed_at", "object_id", "key", *[c.alias(n) for n, c in typed_facts.typed(F.col("value")).items()], (F.schema_of_variant("value") == "STRING").alias("is_text"), F.try_variant_get("value", "$", "string").alias("raw_text"))
+    said = said.persist(StorageLevel.MEMORY_AND_DISK)
 
     # objects: known hashes keep theirs, new ones are numbered by the line that names them first
     hashes = said.where((F.col("key") == HASH_KEY) & F.col("is_text")).select("ln", "source_id", "object_id", F.col("raw_text").alias("hash_value"))
@@ -115,4 +126,4 @@ def import_facts(catalog: Catalog, lines: DataFrame, allow_archived: bool = Fals
     counters = outcomes.agg(F.count("*").alias("lines"), F.coalesce(F.sum("facts"), F.lit(0)).alias("imported"), F.count_if(F.col("outcome") == "stale").alias("stale"), F.coalesce(F.sum("reserved"), F.lit(0)).alias("reserved"), F.count_if(F.col("outcome") == "archived").alias("archived"))
     stored = timeline.where("entity_type = 'object'").agg(F.count("*").alias("direct"))
     counters = counters.crossJoin(fresh.agg(F.count("*").alias("created"))).crossJoin(stored).crossJoin(moved.agg(F.count("*").alias("moved")))
-    return Imported(done, outcomes, counters.select("lines", "imported", "stale", "reserved", "archived", "created", (F.col("direct") + F.col("moved")).alias("promoted")))
+    return Imported(done, outcomes, counters.select("lines", "imported", "stale", "reserved", "archived", "created", (F.col("direct") + F.col("moved")).alias("promoted")), (said, verdicts))

@@ -36,8 +36,8 @@ def stem(path: Column) -> Column:
 def number_text(x: Column) -> Column:
     """A double as text with 15 significant digits: ``3.0``, ``0.1``, ``1.0e+15``."""
     whole = (F.abs(x) < 1e15) & (x == F.floor(x))
-    plain = F.regexp_replace(F.round(x.cast("decimal(38,18)"), 15).cast("string"), r"(\.\d*?[1-9])0+$|(\.0)0*$", "$1$2")
     digits = F.format_string("%.14e", x)
+    plain = F.regexp_replace(digits.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?[1-9])0+$|(\.0)0*$", "$1$2")
     mantissa = F.regexp_replace(F.regexp_extract(digits, r"^(-?\d\.\d+)e", 1), r"(\.\d*?[1-9])0+$|(\.0)0*$", "$1$2")
     science = F.concat(mantissa, F.regexp_extract(digits, r"(e[+-]\d+)$", 1))
     return (

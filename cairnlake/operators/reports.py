@@ -25,12 +25,12 @@ def _attached(catalog: Catalog, working: DataFrame, key: str | None = None) -> D
     return own.unionByName(of_object.select(own.columns))
 
 
-def fact_keys(catalog: Catalog, where: Sequence[str] = (), scope: str | None = None, include_archived: bool = False, include_excluded: bool = False) -> DataFrame:
-    """(key, cnt, pct, builtin): how many sources have each fact; built-in ones, which all have, first."""
+def fact_keys(catalog: Catalog, where: Sequence[str] = (), scope: str | None = None, include_archived: bool = False, include_excluded: bool = False, hidden: bool = False) -> DataFrame:
+    """(key, cnt, pct, builtin): how many sources have each fact; built-in ones, which all have, first, with the ``hidden`` ones on request."""
     working = scopes.candidates(catalog, where, scope, include_archived, include_excluded)
     total = working.agg(F.count("*").alias("total"))
     found = _attached(catalog, working).select("id", "key").distinct().groupBy("key").agg(F.count("*").alias("cnt")).withColumn("builtin", F.lit(False))
-    own = total.select(F.explode(F.array(*map(F.lit, SHOWN_KEYS))).alias("key"), F.col("total").alias("cnt"), F.lit(True).alias("builtin"))
+    own = total.select(F.explode(F.array(*map(F.lit, SHOWN_KEYS + HIDDEN_KEYS * hidden))).alias("key"), F.col("total").alias("cnt"), F.lit(True).alias("builtin"))
     out = own.unionByName(found.select("key", "cnt", "builtin")).crossJoin(F.broadcast(total))  # the total is one row
     return out.select("key", "cnt", values.percent(F.col("cnt"), F.col("total")).alias("pct"), "builtin").orderBy(F.desc("builtin"), F.desc("cnt"), "key")
 

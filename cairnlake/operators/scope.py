@@ -118,6 +118,11 @@ def ls_footer(catalog: Catalog, where: Sequence[str] = (), scope: str | None = N
     return out.agg(F.count_if(shown).alias("listed"), F.count_if(~shown).alias("excluded"), F.count_if(shown & F.col("object_id").isNull()).alias("unhashed"))
 
 
+def ls_sources(listed: DataFrame) -> DataFrame:
+    """One row: the distinct sources of a listing, which ``show`` may list once for each archive copy."""
+    return listed.agg(F.count_distinct("id").alias("sources"))
+
+
 def excluded_count(catalog: Catalog, where: Sequence[str] = (), scope: str | None = None, include_archived: bool = False) -> DataFrame:
     """One row: how many sources the exclusion policy hides."""
     return candidates(catalog, where, scope, include_archived, True).join(excluded_ids(catalog), "id", "left_semi").agg(F.count("*").alias("excluded"))

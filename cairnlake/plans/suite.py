@@ -12,7 +12,7 @@ from cairnlake.functions import values
 from cairnlake.operators import ingest, manifest, policy, reconcile, reports, scope
 from cairnlake.plans import testdata
 from cairnlake.plans.testdata import NOW, catalog_of, duck_tables
-from cairnlake.sources import enrich
+from cairnlake.sources import enrich, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,7 +75,16 @@ _where("where_hash_exists", "content.hash.sha256?", "object_id is not null or "
 _where("where_json_cmp", "content.tags = '[\"a\",\"b\"]'", "false")
 _where("where_bool_tree", "(content.status = F OR content.status = o AND source.size > 50000000) AND !(source.ext = bak)", f"({_fact('content.status', _fold('value_text') + chr(32) + '=' + chr(32) + chr(39) + 'f' + chr(39))} or {_fact('content.status', _fold('value_text') + chr(32) + '=' + chr(32) + chr(39) + 'o' + chr(39))} and size > 50000000) and not {_fold('ext')} = 'bak'")
 _where("where_device_inode", "source.device = 1 AND source.inode >= 100", "device = 1 and inode >= 100")
-_where("where_several", "source.ext?", "true")
+register(
+    "where_several",
+    lambda c: scope.worklist(c, ["source.ext = jpg OR source.ext = png", "content.status?", "NOT content.segment = machinery"]),
+    f"{_WORK} where {_fold('ext')} in ('jpg', 'png') and {_fact('content.status', 'true')} and not {_fact('content.segment', _fold('value_text') + ' = ' + repr('machinery'))}",
+)
+_where(
+    "where_paths",
+    "source.root = '/MNT/High' AND source.rel_path > 'F/c_5' AND source.path < '/mnt/High/P'",
+    f"{_fold('root_path')} = '/mnt/high' and rel_path > 'F/c_5' and path < '/mnt/High/P'",
+)
 
 # scope and listings
 register("scope_prefix", lambda c: scope.worklist(c, scope="/mnt/High/F"), f"{_WORK} where starts_with(root_path || '/' || rel_path, '/mnt/High/F/')")
@@ -148,7 +157,13 @@ register("exclude_clear_after", lambda c: policy.exclude_list(policy.exclude_cle
 register("delete_preview_source", lambda c: policy.delete_preview(c, "content.status", "source", ["source.ext = jpg"]), f"select count(*) as facts, count(distinct entity_id) as entities from c_facts where key = 'content.status' and entity_type = 'source' and entity_id in (select id from loc where {_fold('ext')} = 'jpg')")
 register("delete_preview_object", lambda c: policy.delete_preview(c, "content.segment", "object"), "select count(*) as facts, count(distinct entity_id) as entities from c_facts where key = 'content.segment' and entity_type = 'object' and entity_id in (select object_id from loc where object_id is not null)")
 _FACT_COLUMNS = "entity_type, entity_id, key, value_text, value_num, value_time, value_json, observed_at, observed_basis_rev"
-register("delete_after", lambda c: policy.delete_facts(c, "content.segment", "object", ["source.ext = jpg"]).facts, f"select {_FACT_COLUMNS} from c_facts where not (key = 'content.segment' and entity_type = 'object' and entity_id in (select object_id from loc where object_id is not null and {_fold('ext')} = 'jpg'))")
+register(
+    "delete_after",
+    lambda c: policy.delete_facts(c, "content.segment", "object", ["source.ext = jpg"]).facts,
+    f""", gone as materialized (select distinct s.object_id from c_sources s join c_roots r on r.id = s.root_id
+ where s.present = 1 and s.object_id is not null and {_fold('s.rel_path')} like '%.jpg')
+select {_FACT_COLUMNS} from c_facts f left join gone on f.key = 'content.segment' and f.entity_type = 'object' and gone.object_id = f.entity_id where gone.object_id is null""",
+)
 register("prune_preview", policy.prune_preview, "select key, count(*) as facts from c_facts f join c_sources s on s.id = f.entity_id where entity_type = 'source' and observed_basis_rev <> basis_rev group by key")
 register("prune_stale_after", lambda c: policy.prune_stale(c).facts, f"select {_FACT_COLUMNS} from c_facts f where not (entity_type = 'source' and exists (select 1 from c_sources s where s.id = f.entity_id and f.observed_basis_rev <> s.basis_rev))")
 
@@ -217,20 +232,35 @@ fresh as (select hash_value, min(ln) as first_ln from h where hash_value not in
 ids as (select hash_value, id from c_objects union all select hash_value, (select coalesce(max(id), 0) from c_objects) + row_number() over (order by first_ln) from fresh),
 l as (select h.ln, h.sid, h.object_id, ids.id as linked from h join ids using (hash_value)),
 t as (select d.*, coalesce(last_value(l.linked ignore nulls) over (partition by d.sid order by d.ln range between unbounded preceding and current row), d.object_id) as obj from d left join l on l.ln = d.ln),
-x as (select ln, sid, obj, key, case when obj is null then 'source' else 'object' end as et, coalesce(obj, sid) as eid, case when jt = 'VARCHAR' then txt end as value_text, case when jt in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(txt as double) end as value_num, obs, case when obj is null then rev end as rev from t),
+y as (select *, case when jt = 'VARCHAR' then cast(epoch(coalesce(try_strptime(txt, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(txt, '%Y:%m:%d %H:%M:%S'))) as bigint) end as value_time from t),
+x as (select ln, sid, obj, key, case when obj is null then 'source' else 'object' end as et, coalesce(obj, sid) as eid,
+ case when jt = 'VARCHAR' and value_time is null then txt when jt = 'NULL' then '' end as value_text,
+ case when jt in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(txt as double) when jt = 'BOOLEAN' then (case txt when 'true' then 1.0 else 0.0 end)::double end as value_num,
+ value_time, case when jt in ('ARRAY', 'OBJECT') then cast(val as varchar) end as value_json, obs, case when obj is null then rev end as rev from y),
 best as (select * from x qualify row_number() over (partition by et, eid, key order by ln desc) = 1),
 gained as (select sid, min(ln) as link_ln, arg_min(linked, ln) as obj from l where object_id is null group by sid)
 """
-_AFTER = """, own as (select eid, key, value_text, value_num, null::bigint as value_time, null::varchar as value_json, obs as observed_at, rev as observed_basis_rev, 1 as newer from best where et = 'source'
+_OWN = """, own as (select eid, key, value_text, value_num, value_time, value_json, obs as observed_at, rev as observed_basis_rev, 1 as newer from best where et = 'source'
  union all select entity_id, key, value_text, value_num, value_time, value_json, observed_at, observed_basis_rev, 0 from c_facts where entity_type = 'source'),
-own1 as (select own.*, g.obj, g.link_ln, g.obj is not null and starts_with(own.key, 'content.') as moves from own left join gained g on g.sid = own.eid qualify row_number() over (partition by eid, key order by newer desc) = 1),
-cand as (select eid, key, value_text, value_num, null::bigint as value_time, null::varchar as value_json, obs as observed_at, 0 as r, 0 as link_ln from best where et = 'object'
+own1 as (select own.*, g.obj, g.link_ln, g.obj is not null and starts_with(own.key, 'content.') as moves from own left join gained g on g.sid = own.eid qualify row_number() over (partition by eid, key order by newer desc) = 1)
+"""
+_AFTER = """, cand as (select eid, key, value_text, value_num, value_time, value_json, obs as observed_at, 0 as r, 0 as link_ln from best where et = 'object'
  union all select entity_id, key, value_text, value_num, value_time, value_json, observed_at, 1, 0 from c_facts where entity_type = 'object'
  union all select obj, key, value_text, value_num, value_time, value_json, observed_at, 2, link_ln from own1 where moves)
 select 'object' as entity_type, eid as entity_id, key, value_text, value_num, value_time, value_json, observed_at, null::bigint as observed_basis_rev from (select * from cand qualify row_number() over (partition by eid, key order by r, link_ln) = 1)
 union all select 'source', eid, key, value_text, value_num, value_time, value_json, observed_at, observed_basis_rev from own1 where not moves"""
 _IMPORT = duck_tables("orders", "lines") + _BASE + _LINES
-ORACLE_SQL["import_facts_after"] = _IMPORT + _AFTER
+ORACLE_SQL["import_facts_after"] = _IMPORT + _OWN + _AFTER
+ORACLE_SQL["import_counters"] = (
+    _IMPORT
+    + _OWN
+    + """, said as (select eid, key, min(ln) as first_ln from x where et = 'object' group by eid, key),
+ promoted as (select obj as eid, key, min(link_ln) as link_ln from own1 where moves group by obj, key),
+ there as (select distinct entity_id, key from c_facts where entity_type = 'object'),
+ moved as (select count(*) as n from promoted p left join said on said.eid = p.eid and said.key = p.key left join there on there.entity_id = p.eid and there.key = p.key where there.key is null and (first_ln is null or first_ln > link_ln))
+select (select count(*) from o) as lines, (select count(*) from d) as imported, (select count(*) from o where outcome = 'stale') as stale, (select count(*) from e where starts_with(raw_key, 'source.')) as reserved,
+ (select count(*) from o where outcome = 'archived') as archived, (select count(*) from fresh) as created, (select count(*) from x where et = 'object') + (select n from moved) as promoted"""
+)
 ORACLE_SQL["import_outcomes"] = _IMPORT + "select outcome, count(*) as n, coalesce(sum((select count(*) from d where d.ln = o.ln)), 0)::bigint as facts, coalesce(sum((select count(*) from e where e.ln = o.ln and starts_with(raw_key, 'source.'))), 0)::bigint as reserved from o group by outcome"
 ORACLE_SQL["import_links"] = _IMPORT + ", z as (select sid, arg_max(linked, ln) as linked from l group by sid) select s.id, coalesce(z.linked, s.object_id) as object_id, ids.hash_value from c_sources s left join z on z.sid = s.id join ids on ids.id = coalesce(z.linked, s.object_id)"
 
@@ -245,9 +275,11 @@ QUERIES["scan_missing"] = lambda spark, sf_dir: (lambda c: reconcile.missing(c,
 QUERIES["scan_sources_after"] = lambda spark, sf_dir: _scanned(spark, sf_dir).catalog.sources.join(catalog_of(spark, sf_dir).sources.select("id"), "id", "left_semi").select("id", "root_id", "rel_path", "size", "basis_rev", "present")
 _SCAN = duck_tables("orders", "listing") + """,
 p as (select l.*, s.id as sid, s.device as sd, s.inode as si, s.size as ss, s.mtime as sm, s.basis_rev as sr, s.root_id as sroot from c_listing l left join c_sources s on s.root_id = l.root_id and s.rel_path = l.rel_path),
-i as (select p.root_id, p.rel_path, p.device, p.inode, p.size, p.mtime, s.id as sid, s.root_id as sroot, s.basis_rev as sr, row_number() over (partition by s.id order by p.root_id, p.rel_path) as k from p left join c_sources s on s.device = p.device and s.inode = p.inode and s.id not in (select sid from p where sid is not null) where p.sid is null),
+q as (select root_id, rel_path, device, inode, size, mtime, row_number() over (partition by device, inode order by root_id, rel_path) as k from p where sid is null),
+free as (select *, row_number() over (partition by device, inode order by id) as k from c_sources where device is not null and inode is not null and id not in (select sid from p where sid is not null)),
+i as (select q.root_id, q.rel_path, q.device, q.inode, q.size, q.mtime, free.id as sid, free.root_id as sroot, free.basis_rev as sr from q left join free on free.device = q.device and free.inode = q.inode and free.k = q.k),
 a as (select sid as id, root_id, rel_path, case when size = ss and mtime = sm and device is not distinct from sd and inode is not distinct from si then 'unchanged' else 'updated' end as action, sr, sroot, device, inode, size, mtime from p where sid is not null
- union all select case when k = 1 then sid end, root_id, rel_path, case when sid is not null and k = 1 then 'moved' else 'new' end, sr, sroot, device, inode, size, mtime from i),
+ union all select sid, root_id, rel_path, case when sid is not null then 'moved' else 'new' end, sr, sroot, device, inode, size, mtime from i),
 b as (select id, root_id, rel_path, action, case action when 'new' then 0 when 'unchanged' then sr when 'updated' then sr + 1 else sr + (case when sroot <> root_id then 1 else 0 end) end::bigint as basis_rev, device, inode, size, mtime from a),
 gone as (select id from c_sources where present = 1 and id not in (select id from b where id is not null))
 """
@@ -272,4 +304,30 @@ QUERIES["number_text"] = lambda spark, sf_dir: _table("lineitem")(spark, sf_dir)
 ORACLE_SQL["number_text"] = "select cast(l_extendedprice as varchar) as price, cast(l_discount as varchar) as discount from (select distinct l_extendedprice, l_discount from lineitem)"
 QUERIES["size_label"] = lambda spark, sf_dir: _table("orders")(spark, sf_dir).select("o_orderkey", values.thousands(F.col("o_orderkey") * 1000).alias("shown"), values.shortened(F.concat("o_orderpriority", F.lit(" of a long enough label "), F.col("o_orderkey").cast("string"))).alias("label"))
 ORACLE_SQL["size_label"] = "select o_orderkey, format('{:,}', o_orderkey * 1000) as shown, case when length(t) > 38 then substr(t, 1, 35) || '...' else t end as label from (select o_orderkey, o_orderpriority || ' of a long enough label ' || o_orderkey as t from orders)"
-QUERIES["external_command"] = lambda spark, sf_dir: enrich.fact_lines(enrich.run_command(scope.worklist(catalog_of(spark, sf_dir, "docs"), ["content.lang = fr"]), ["printf", "name=%s\\n", "{}"]), now=NOW)
+QUERIES["external_command"] = lambda spark, sf_dir: enrich.fact_lines(enrich.run_command(scope.worklist(catalog_of(spark, sf_dir, "docs")), ["printf", "name=%s\\n", "{}"]), now=NOW)
+ORACLE_SQL["external_command"] = duck_tables("docs") + _BASE + """select '{"source_id":' || id || ',"basis_rev":' || basis_rev || ',"observed_at":1700000000,"facts":{"name":"' || path || '"}}' as line from w"""
+QUERIES["single_fact"] = lambda spark, sf_dir: _table("part")(spark, sf_dir).select("p_partkey", F.explode(enrich.single_fact(F.concat(F.lit(" \n"), "p_name", F.lit("\n")), "name")))
+ORACLE_SQL["single_fact"] = "select p_partkey, 'name' as key, p_name as value from part"
+QUERIES["json_facts"] = lambda spark, sf_dir: _table("part")(spark, sf_dir).select("p_partkey", F.to_json(enrich.json_facts(F.when(F.col("p_partkey") % 3 == 0, "[1]").otherwise(F.concat(F.lit('{"size": '), F.col("p_size").cast("string"), F.lit(', "l": [true]}'))))).alias("facts"))
+ORACLE_SQL["json_facts"] = """select p_partkey, case when p_partkey % 3 <> 0 then '{"l":[true],"size":' || p_size || '}' end as facts from part"""
+QUERIES["merged_facts"] = lambda spark, sf_dir: _table("part")(spark, sf_dir).select("p_partkey", F.explode(enrich.merged(F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("a"), F.col("p_name"), F.lit("b"), F.col("p_type"))), F.create_map(F.lit("b"), F.col("p_brand")))))
+ORACLE_SQL["merged_facts"] = "select p_partkey, 'b' as key, p_brand as value from part union all select p_partkey, 'a', p_name from part where p_partkey % 2 = 0"
+
+# Doubles and their texts with 15 significant digits.
+_NUMBERS = [
+    (1.0, "1.0"), (-3.0, "-3.0"), (0.1 + 0.2, "0.3"), (1e15, "1.0e+15"), (1e-5, "1.0e-05"), (1e-4, "0.0001"), (123456789012345.0, "123456789012345.0"), (1234567890123456.0, "1.23456789012346e+15"),
+    (0.5, "0.5"), (-2.5, "-2.5"), (float("inf"), "Inf"), (float("-inf"), "-Inf"), (1 / 3, "0.333333333333333"), (200 / 3, "66.6666666666667"), (1e100, "1.0e+100"), (1.5e-7, "1.5e-07"), (-1234.5678, "-1234.5678"), (99999.99999999999, "100000.0"),
+]
+QUERIES["number_text_edges"] = lambda spark, sf_dir: spark.createDataFrame([(i, x) for i, (x, _) in enumerate(_NUMBERS)], "i int, x double").select("i", values.number_text(F.col("x")).alias("shown"))
+ORACLE_SQL["number_text_edges"] = "select i::integer as i, shown from (values " + ", ".join(f"({i}, '{t}')" for i, (_, t) in enumerate(_NUMBERS)) + ") t(i, shown)"
+
+# roots, relative paths, dates in patterns
+register("root_overlaps", lambda c: reconcile.overlapping_roots(c, "/mnt").select("path"), "select path from c_roots where starts_with(path, '/mnt/')")
+register("root_added", lambda c: reconcile.add_root(c, "/new/root", "archive").roots, "select * from c_roots union all select 6, '/new/root', 'archive'")
+register("relative_paths", lambda c: files.relative_paths(scope.ls(c), "/mnt/High").select("id", "path"), "select id, case when starts_with(path, '/mnt/High/') then substr(path, 11) else path end as path from w")
+register(
+    "pattern_dates",
+    lambda c: manifest.plan_apply(c, manifest.generate(c, ["content.exif.datetime_original?"], "/vault/a/x", "{year}/{month}-{day}/{date}_{id}_{hash}..", include_archived=True)).rows.select("id", "dest"),
+    """, t as (select l.id, o.hash_value, make_timestamp(f.value_time * 1000000) as shot from loc l join c_objects o on o.id = l.object_id join c_facts f on f.entity_type = 'object' and f.entity_id = o.id and f.key = 'content.exif.datetime_original' where not excl)
+select id, 'x/' || strftime(shot, '%Y/%m-%d/%Y-%m-%d') || '_' || id || '_' || hash_value || '_' as dest from t""",
+)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import subprocess
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,5 +83,38 @@ def fact_lines(outputs: DataFrame, mode: str = "kv", key: str | None = None, now
     return out.select(F.format_string('{"source_id":%d,"basis_rev":%d,"observed_at":%d,"facts":%s}', "source_id", "basis_rev", at, "facts").alias("line"))
 
 
-def json_text(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+RECORD = "source_id bigint, path string, basis_rev bigint, facts variant"
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(source_id, path, basis_rev, facts) of work-list lines (line); ``facts``: what an earlier processor found, a map of JSON texts.
+
+    Blank lines and those without a source, path or revision are left out.
+    """
+    parsed = lines.where(F.trim("line") != "").select(F.from_json("line", RECORD).alias("r")).select("r.*")
+    parsed = parsed.where("source_id is not null and path is not null and basis_rev is not null")
+    entries = F.from_json(F.to_json("facts"), "map<string,variant>")
+    return parsed.select("source_id", "path", "basis_rev", F.transform_values(F.coalesce(entries, F.create_map().cast("map<string,variant>")), lambda _, v: F.to_json(v)).alias("facts"))
+
+
+def processed(lines: DataFrame, command: Sequence[str], mode: str = "kv", key: str | None = None, now: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((line), (path, error)): work-list lines through a program, with its facts merged into theirs; the new ones win.
+
+    The lines can go through another processor or be imported.  A program that fails or
+    gives no facts leaves no line but an error.  It runs once for each line.
+    """
+    held = records(lines).select("source_id", "path", "basis_rev", "facts", F.monotonically_increasing_id().alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    got = run_command(held.select(F.col("n").alias("source_id"), "basis_rev", "path"), command)
+    got = got.select(F.col("source_id").alias("n"), "stdout", "error").persist(StorageLevel.MEMORY_AND_DISK)
+    quoted = lambda m: F.transform_values(m, lambda _, v: F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+    if mode == "json":
+        new = F.transform_values(F.from_json(F.to_json(json_facts(F.col("stdout"))), "map<string,variant>"), lambda _, v: F.to_json(v))
+    else:
+        new = quoted(single_fact(F.col("stdout"), key) if mode == "fact" else kv_facts(F.col("stdout")))
+    out = held.join(got, "n").withColumn("new", new)
+    good = F.coalesce(F.size("new") > 0, F.lit(False))
+    body = F.array_join(F.transform(F.array_sort(F.map_entries(merged(F.col("facts"), F.col("new")))), lambda e: F.concat(F.regexp_extract(F.to_json(F.struct(e["key"].alias("k"))), r'(?s)^\{"k":(.*)\}$', 1), F.lit(":"), e["value"])), ",")
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    at = F.lit(now).cast("long") if now is not None else F.unix_timestamp()
+    line = F.concat(F.lit('{"source_id":'), F.col("source_id").cast("string"), F.lit(',"path":'), text("path"), F.lit(',"basis_rev":'), F.col("basis_rev").cast("string"), F.lit(',"observed_at":'), at.cast("string"), F.lit(',"facts":{'), body, F.lit("}}"))
+    return out.where(good).orderBy("n").select(line.alias("line")), out.where(~good).select("path", F.coalesce("error", F.lit("no facts")).alias("error"))

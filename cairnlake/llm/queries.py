@@ -86,7 +86,9 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 
 def op5_suffix_array_dedup(spark, sf_dir):
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"))
 
 
 def op6_embedding_near_dedup(spark, sf_dir):

@@ -8,9 +8,9 @@ in the corpus.  Exact, and without a suffix array of the whole corpus:
 2. What is left, contexts that differ around a gram they share, is dealt by gram.
    Each shard sorts its suffixes by induction with disk-backed queues (``induced``);
    neighbours whose first ``length`` bytes agree are repeated.
-3. A gram with more different contexts than a task's fair share, ``HOT`` at least (a
-   passage in a third of all documents), isn't sorted in one shard: its windows are
-   counted by hash, combined before they are shuffled.
+3. A gram with more than ``HOT`` different contexts (a passage in a third of all
+   documents) isn't sorted in one shard: its windows are counted by hash, combined
+   before they are shuffled.  ``HOT`` contexts are about as many bytes as a shard holds.
 4. The runs' windows are merged to spans per distinct text.
 
 Exact copies are one text throughout.  Filters of fixed size tell the executors which
@@ -19,7 +19,6 @@ contexts to send, so texts are shuffled only where they lose something.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +29,11 @@ from pyspark.sql import functions as F
 from cairnlake.llm.anchors import content_ids, pieces, runs
 from cairnlake.llm.induced import suffix_array
 from cairnlake.llm.jaccard import Bloom
-from cairnlake.llm.runtime import materialise, partitions, trimmed
+from cairnlake.llm.runtime import discard, materialise, trimmed
 from cairnlake.llm.textbytes import Spans, mix
 
 LENGTH = 400
-HOT = 256
+HOT = 4096
 SHARD_BYTES = 3 << 20
 BITS = 1 << 25
 BROADCAST_HASHES = 1_000_000
@@ -200,36 +199,44 @@ def _removed(docs: DataFrame, length: int, known, covered: bool) -> DataFrame:
                 ids = batch.column(0).slice(first, len(digests)).take(pa.array(rows))
                 n = np.diff(off)[rows]
                 if covered:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(cids[rows]), pa.array([part[off[r] : off[r + 1]].tobytes() for r in rows], pa.binary())], names=["doc_id", "cid", "bytes"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(cids[rows]), _bytes(part, off, rows)], names=["doc_id", "cid", "bytes"])
                 else:
-                    zero = pa.array(np.zeros(len(rows), np.int64))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), zero, zero, pa.array([digests[r].hex() for r in rows], pa.string())], names=_NAMES)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), _span_lists([[]] * len(rows)), _bytes(part, off, rows)], names=_NAMES)
 
     return _columns(docs).mapInArrow(trimmed(run), "doc_id long, cid long, bytes binary" if covered else _SCHEMA)
 
 
-_NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_NAMES = ["doc_id", "n_bytes", "spans", "kept"]
+_SCHEMA = "doc_id long, n_bytes long, spans array<struct<a:long,b:long>>, kept binary"
+
+
+def _bytes(part: np.ndarray, off: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.array([part[off[r] : off[r + 1]].tobytes() for r in rows], pa.binary())
+
+
+def _span_lists(lists: list[list[tuple[int, int]]]) -> pa.Array:
+    flat = [x for spans in lists for x in spans]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]) if lists else [0]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.int64()) for k in (0, 1)], names=["a", "b"]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for doc_id, raw, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        cuts, kept = [], []
+        raws = batch.column(1).to_pylist()
+        for raw, spans in zip(raws, batch.column(2).to_pylist(), strict=True):
             cut = merged([(s["a"], min(s["b"], len(raw))) for s in spans or () if s["a"] < len(raw)])
-            kept, at = hashlib.sha256(), 0
-            for a, b in cut:
-                kept.update(raw[at:a])
-                at = b
-            kept.update(raw[at:])
-            out.append((doc_id, len(raw), sum(b - a for a, b in cut), len(cut), kept.hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if k == 4 else pa.int64()) for k in range(5)], names=_NAMES)
+            edges = [0, *(x for span in cut for x in span), len(raw)]
+            cuts.append(cut)
+            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raws), pa.int64()), _span_lists(cuts), pa.array(kept, pa.binary())], names=_NAMES)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs`` (doc_id, text).
+    """(doc_id, n_bytes, spans, kept) of each row of ``docs`` (doc_id, text).
 
-    Texts are UTF-8 bytes.  Null and empty texts, and those under ``length`` bytes, lose
+    Texts are UTF-8 bytes.  ``spans``: the maximal runs of removed bytes, from ``a`` to before
+    ``b``; ``kept``: the remaining bytes, which may begin or end within a character.  Null and empty texts, and those under ``length`` bytes, lose
     nothing; every copy of a longer text loses all.  A repeated row is a copy.  ``hot``:
     contexts from which a gram's windows are counted instead of sorted.
     """
@@ -246,13 +253,14 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int | None = Non
     found = materialise(_anchors(docs, length), "anchors")
     grams = materialise(found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("n > 1").select("gram", "mixed"), "grams")
     live = materialise(found.join(grams, "gram"), "live")
+    discard(found, grams)
     contexts = materialise(live.groupBy("gram", "ctx", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("cid", "start")).alias("rep")), "contexts")
     twice = materialise(contexts.where("n > 1").select("gram", "ctx"), "twice")
     whole = live.join(twice, ["gram", "ctx"]).select("cid", F.col("start").alias("a"), (F.col("start") + F.col("windows") - 1 + length).alias("b"))
     per_gram = materialise(contexts.where("mixed").groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("s")).where("s > 0").select("gram", "m"), "per-gram")
-    share = (per_gram.agg(F.sum("m")).first()[0] or 0) // partitions(spark)  # more than a task's fair share is too much for one shard
-    least = max(HOT, share) if hot is None else hot
+    least = HOT if hot is None else hot
     fetch = materialise(contexts.where("mixed").join(per_gram, "gram").select((F.col("m") > least).alias("hot"), F.col("rep.cid").bitwiseXOR(F.shiftleft("rep.start", 9)).alias("token")), "fetch")
+    discard(contexts, per_gram)
     spans = spans.union(whole)
     if fetch.where("not hot").limit(1).count():
         cold = send(Bloom.of(fetch.where("not hot"), BITS))
@@ -266,6 +274,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot: int | None = Non
             spans = spans.union(_contexts(docs, length, asked, True).join(often, "hash").select("cid", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     # spans of one text number less than its bytes
     cover = materialise(spans.distinct().groupBy("cid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "cover")
+    discard(live, twice)
     known = send(Bloom.of(cover.select(F.col("cid").alias("token")), BITS))
     cut = _removed(docs, length, known, True).join(cover, "cid", "left").select("doc_id", "bytes", "spans").mapInArrow(trimmed(_cut), _SCHEMA)
     return cut.union(_removed(docs, length, known, False))

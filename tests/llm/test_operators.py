@@ -122,8 +122,19 @@ def brute_substrings(rows, length):
 def test_substrings(spark, monkeypatch, hot, hashes):
     monkeypatch.setattr(substring_dedup, "BROADCAST_HASHES", hashes)
     rows = corpus()
-    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS).repartition(3), hot=hot).collect()
-    assert sorted(map(tuple, got)) == brute_substrings(rows, 400)
+    docs = spark.createDataFrame([(*x, 7, b"old") for x in rows], "doc_id long, text string, cid long, spans binary").repartition(3)
+    got = substring_dedup.substring_dedup(docs, hot=hot).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], sum(b - a for a, b in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == brute_substrings(rows, 400)
+    assert all(sum(b - a for a, b in r["spans"]) + len(r["kept"]) == r["n_bytes"] for r in got)
+
+
+def test_substrings_of_very_long_texts(spark):
+    """A passage within texts of a megabyte, a null id, a text that repeats itself."""
+    passage = prose(150, 41)
+    rows = [(1, prose(200_000, 42) + passage), (None, passage + prose(100_000, 43)), (3, prose(100_000, 44)), (4, "ab" * 50_000)]
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    (a, b), n = got[1][0], len(passage)
+    assert len(got[1]) == len(got[None]) == 1 and 0 <= len(rows[0][1]) - n - a <= 3 and b == len(rows[0][1]) and got[3] == [] and got[4] == [(0, 100_000)]
 
 
 def test_substrings_empty(spark):

@@ -80,10 +80,9 @@ class Queues:
 def _types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is S-type: smaller than the next one; the last is not."""
     n = len(text)
-    change = np.flatnonzero(text[1:] != text[:-1])
-    after = np.searchsorted(change, np.arange(n))  # the end of the run of equal symbols
-    ends = np.concatenate([change, [n - 1]])[after]
-    return np.where(ends < n - 1, text[np.minimum(ends + 1, n - 1)] > text, False)
+    ends = np.concatenate([np.flatnonzero(text[1:] != text[:-1]), [n - 1]])  # of the runs of equal symbols
+    smaller = np.concatenate([text[ends[:-1] + 1] > text[ends[:-1]], [False]])
+    return np.repeat(smaller, np.diff(np.concatenate([[-1], ends])))
 
 
 def _induce(text: np.ndarray, seeds: np.ndarray, memory: int) -> np.ndarray:
@@ -145,6 +144,31 @@ def _substring_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return (prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _doubled(rank: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the LMS suffixes by their first ``depth`` symbols at least, from the ranks of their first LMS substrings.
+
+    A rank is the number of smaller suffixes; only those that share theirs are sorted again.
+    An LMS substring advances by two symbols at least.
+    """
+    n, step = len(rank), 1
+    shared = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+    while len(shared) and 2 * step < depth and step < n:
+        ahead = shared + step
+        key = rank[shared] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        key, shared = key[order], shared[order]
+        at = np.arange(len(key))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        old = key // (n + 1)
+        start = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), at, 0))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        rank[shared] = old + first - start
+        alone = new & np.concatenate([new[1:], [True]])
+        shared = shared[~alone]
+        step *= 2
+    return rank
+
+
 def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarray:
     """The suffixes of ``text`` (symbols 0 to 256), in order of their first ``depth`` symbols at least."""
     text = np.asarray(text, np.int16)
@@ -164,20 +188,8 @@ def suffix_array(text: np.ndarray, depth: int, memory: int = MEMORY) -> np.ndarr
     ends[lms] = np.concatenate([lms[1:] + 1, [n]])
     hashes = _substring_hashes(text, rough, ends[rough])
     hashes[rough == lms[-1]] ^= np.uint64(0x1234567)  # the last runs to the end and equals no other
-    names = np.zeros(n, np.int64)
-    names[rough] = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
-    rank, step = names[lms], 1
-    while step * 2 <= 2 * depth and len(rank) > 1 and rank.max() + 1 < len(rank):
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-step] = rank[step:] + 1
-        key = rank * (len(rank) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        step *= 2
-        if 2 * step >= depth:  # an LMS substring advances by two symbols at least
-            break
-        if step >= len(rank):
-            break
-    return _induce(text, lms[np.argsort(rank, kind="stable")], memory)
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    place = np.zeros(n, np.int64)
+    place[rough] = np.maximum.accumulate(np.where(new, np.arange(len(rough)), 0))  # where a name's suffixes begin
+    rank = _doubled(place[lms], depth)
+    return _induce(text, lms[np.argsort(rank)], memory)

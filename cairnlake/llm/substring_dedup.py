@@ -33,8 +33,8 @@ from cairnlake.llm.runtime import discard, materialise, trimmed
 from cairnlake.llm.textbytes import Spans, mix
 
 LENGTH = 400
-HOT = 4096
-SHARD_BYTES = 3 << 20
+HOT = 2048
+SHARD_BYTES = 1 << 20
 BITS = 1 << 25
 BROADCAST_HASHES = 1_000_000
 

@@ -35,10 +35,18 @@ def _spread(width: int) -> list[int]:
     return [v - (1 << 64) if v >= 1 << 63 else v for v in own]
 
 
+def cleaned(text: Column) -> Column:
+    """Lower-case runs of letters and digits, a space between them; empty for null."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
+
+
+def _split(clean: Column) -> Column:
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+
+
 def words_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.coalesce(clean, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    return _split(cleaned(text))
 
 
 def _shingle(words: Column, at: Column) -> Column:
@@ -148,15 +156,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         for k in sorted({r["n"] for r in items.where(F.col("n") < SHINGLE).select("n").distinct().collect()}):
             runs = F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), _run_of(words, k))).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
             hits = F.concat(hits, F.filter(runs, lambda s: maybe(s["h"])))
-    near = held(docs.select("doc_id", "text"), "words", words_of(F.col("text"))).where(F.size("words") > 0).select("doc_id", "words")
-    near = materialise(held(near, "hits", hits).where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()), "near")
+    near = held(docs.select("doc_id", "text"), "clean", cleaned(F.col("text"))).where("clean <> ''").select("doc_id", "clean")
+    near = held(held(near, "words", _split(F.col("clean"))), "hits", hits).where(F.size("hits") > 0).select("doc_id", "clean", "hits")  # words take several times the space
+    near = materialise(near.withColumn("row", F.monotonically_increasing_id()), "near")
 
     # every start whose window of the item's length holds a hit: parts of an item may have changed places
     of = ["n", "item"] if exact else ["n"]
     spots = near.select("row", F.explode("hits").alias("hit")).select("row", "hit.p", "hit.h").join(_small(offsets.select("h", *of).distinct(), n_offsets), "h")
     spots = spots.groupBy("row", *of).agg(F.collect_set("p").alias("ps"))
     span = lambda p: F.sequence(F.greatest(p - F.col("n") + F.least("n", F.lit(SHINGLE)), F.lit(0)), p)
-    starts = spots.join(near.select("row", "words"), "row").select("row", *of, "words", F.explode(F.array_distinct(F.flatten(F.transform("ps", span)))).alias("start"))
+    starts = held(spots.join(near.select("row", "clean"), "row"), "words", _split(F.col("clean"))).select("row", *of, "words", F.explode(F.array_distinct(F.flatten(F.transform("ps", span)))).alias("start"))
     count = lambda n: F.greatest(n - SHINGLE + 1, F.lit(1))  # noqa: E731  shingles of n words
     starts = starts.where(count(F.least("n", F.size("words") - F.col("start"))) >= count(F.col("n")) * threshold - 1e-9)  # at the text's end, too short ones are no match
 
@@ -167,13 +176,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         return F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(_BLOCKS)])
 
     if exact:
-        pairs = starts.select("row", "n", "start", "item")
+        checked = hashed(starts).join(near.select("row", "doc_id"), "row")
     else:
         windows = materialise(_fingerprinted(hashed(starts), "hashes", "fp").select("row", "n", "start", "fp"), "windows")
         left = windows.select("row", "n", "start", "fp", F.explode(blocks(F.col("fp"))).alias("block"))
         right = items.select("item", "n", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("block"))
         pairs = left.join(_small(right, len(_BLOCKS) * n_items), ["n", "block"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("row", "n", "start", "item").distinct()
-    checked = hashed(pairs.join(near.select("row", "doc_id", "words"), "row")).join(_small(items.select("item", "item_id", "items", "item_set"), n_items), "item")
+        checked = hashed(held(pairs.join(near.select("row", "doc_id", "clean"), "row"), "words", _split(F.col("clean"))).drop("clean"))
+    checked = checked.join(_small(items.select("item", "item_id", "items", "item_set"), n_items), "item")
     checked = _counted(checked, "hashes", "window_set")
     both = F.size(F.array_intersect("window_set", "item_set"))
     checked = checked.select("doc_id", "item_id", "start", (both / (F.size("hashes") + F.size("items") - both)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)

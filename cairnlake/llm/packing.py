@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,7 +31,8 @@ from cairnlake.llm.runtime import trimmed
 
 WINDOW = 4096
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
+TEXTS = 512  # encoded together
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,7 +46,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 _CASED = re.compile("[\u03a3\u0130]")  # letters whose lower case depends on what stands around them
 
 
-_MARKS = {".", ","}
 _PROBES = ["then", "thntatwh", "qzxj", "a", "naïve", "über", "été", "слово", "日本", "ñandú"]
 # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -72,40 +74,49 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         """Put the words into ``known``; spellings that come to the same tokens share an encoding."""
         known, tokenize, later = self.known, self.tokenizer.model.tokenize, []
-        for mark in ".,":
-            known[mark] = self._encoded([mark])[0]
         for word in words:
-            core, last = word, ""
-            if word[-1:] in _MARKS and word[-2:-1].isalpha():
-                core, last = word[:-1], word[-1]  # a token of its own in any case
-            if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not _CASED.search(core)):
-                core = core.lower()  # the tokenizer does so too
+            core = word.rstrip(string.punctuation)  # marks behind letters are tokens of their own in any case
+            if self.direct and core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and not _CASED.search(core)):
+                marks, core = word[len(core) :], core.lower()  # the tokenizer does so too
                 ids = known.get(core)
-                if ids is None and self.direct:
+                if ids is None:
                     ids = known[core] = array("I", [t.id for t in tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
-                if ids is not None:
-                    known[word] = ids + known[last] if last else ids
-                    continue
-            later.append((word, core, last))
+                if marks and marks not in known:
+                    known[marks] = self._encoded([marks])[0]
+                known[word] = ids + known[marks] if marks else ids
+            else:
+                later.append(word)
         for at in range(0, len(later), 10_000):
             part = later[at : at + 10_000]
-            for (word, core, last), ids in zip(part, self._encoded([core for _, core, _ in part]), strict=True):
-                known[core] = ids
-                known[word] = ids + known[last] if last else ids
+            known.update(zip(part, self._encoded(part), strict=True))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The text in lower case, where the tokenizer is sure to come to the same from either."""
+        low = text.lower()
+        same = text.isascii() or not _CASED.search(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
+        return (low if same and "<|" not in text else text).replace("\n", " ")
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split, known = [t.replace("\n", " ").split(" ") for t in texts], self.known
-        met = set().union(*split)
-        new = [w for w in met if w not in known]
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        Words are split, told apart and put together again by Arrow; Python sees each word of the texts once.
+        """
+        split, known = pc.split_pattern(pa.array(map(self._plain, texts), pa.large_string()), " "), self.known
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much cheaper than to_pylist
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = list(met)
+            new = words
         self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        found = pa.array(map(known.__getitem__, words), pa.large_binary()).take(coded.indices)
+        _, ends, joined = found.buffers()
+        at = np.frombuffer(ends, np.int64)[found.offset :][split.offsets.to_numpy()]
+        return [joined[a:b].to_pybytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 class Packer:
@@ -197,8 +208,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         ids_of, packer, rows = WordIds(tokenizer), Packer(window, TaskContext.get().partitionId() << 40), []
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
                 for doc_id, ids in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     rows += packer.add(doc_id, ids + end)
                 if len(rows) >= 10_000:

@@ -491,6 +491,17 @@ def test_packing(spark):
     assert set(parts) == set(ids) and packing.pack(spark.createDataFrame([], DOCS), path).collect() == []
 
 
+def test_word_ids_of_odd_spellings():
+    """Any mixture of letters, marks, digits and white space has the tokenizer's own ids, through a cleared cache too."""
+    r, ids_of = random.Random(3), packing.WordIds(packing.tokenizer_path())
+    letters = "aAzZ.,!'`$<|>endoftext  \n\t  \u0130\u03a3\u03c3\u03c2H\u0331\u1e96\u00e9\u00c9e\u0301\u00df\u1e9e日本слСЛ12³½_-\"\0\u200b😀\u0149\u01c5sSL\x1c\x85"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(5000)] + ["", " ", "<|ENDOFTEXT|>", "foo<|endoftext|>..", "H\u0331 J\u030c"]
+    want = [g.ids for g in ids_of.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in ids_of(texts)] == want
+        ids_of.known.clear()
+
+
 def test_sum_of_squares_choice():
     packer, r = packing.Packer(16), random.Random(1)
     for _ in range(300):

@@ -137,6 +137,19 @@ def test_substrings_of_very_long_texts(spark):
     assert len(got[1]) == len(got[None]) == 1 and 0 <= len(rows[0][1]) - n - a <= 3 and b == len(rows[0][1]) and got[3] == [] and got[4] == [(0, 100_000)]
 
 
+def test_substrings_of_passages_about_as_long_as_the_bound(spark):
+    """Passages of over 50 words in documents that share nothing else: bytes decide, not words."""
+    passages = [prose(100, 50)[:399], prose(100, 51)[:400], prose(52, 52), prose(120, 53)]
+    assert all(len(p.split()) > 50 for p in passages) and [len(p) >= 400 for p in passages] == [False, True, False, True]
+    rows = [(10 * k + copy, f"{prose(150, 60 + 10 * k + copy)}{copy}{p}{copy + 5}{prose(150, 160 + 10 * k + copy)}") for k, p in enumerate(passages) for copy in range(3)]
+    rows += [(100 + k, prose(300, 300 + k)) for k in range(12)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    found = lambda length: {r["doc_id"]: [b - a for a, b in r["spans"]] for r in substring_dedup.substring_dedup(docs, length).collect()}
+    whole = {d: [len(passages[d // 10])] if d < 40 else [] for d, _ in rows}
+    assert found(400) == {d: n if n and n[0] >= 400 else [] for d, n in whole.items()}
+    assert found(200) == whole
+
+
 def test_substrings_empty(spark):
     assert substring_dedup.substring_dedup(spark.createDataFrame([], DOCS)).collect() == []
 
